@@ -1,9 +1,8 @@
 """Everything computed from a table of parameter draws.
 
-A draws table is long: (model, draw, parameter, value).  The number of draws of one model
-and parameter is set by whoever made the table (a few thousand), so a group of draws fits a
-task and built-in percentiles apply.  Groups that also run over subjects have no such bound
-and use ``exact_quantiles``.
+A draws table is long: (model, draw, parameter, value).  Where the caller can prove how
+many draws a group holds (``draws_bound``), built-in percentiles apply; otherwise quantiles
+come from ``exact_quantiles``, which has no limit on the size of a group.
 """
 
 from __future__ import annotations
@@ -20,16 +19,36 @@ from cohortloom.plans.ranking import exact_quantiles
 SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
 
 
-def draws_summary(draws: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+DRAWS_IN_ONE_TASK = 100_000
+
+
+def _quantiles(
+    rows: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], draws_bound: int | None, group_bound: int | None
+) -> tuple[DataFrame, list[Column]]:
+    """One row per group and the columns that hold the wanted quantiles."""
+    if draws_bound is not None and draws_bound <= DRAWS_IN_ONE_TASK:
+        q = rows.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q"))
+        return q, [F.col("_q")[i] for i in range(len(probs))]
+    names = {f"_q{i}": p for i, p in enumerate(probs)}
+    return exact_quantiles(rows, by, value, names, group_bound), [F.col(n) for n in names]
+
+
+def draws_summary(
+    draws: DataFrame,
+    by: Sequence[str],
+    value: str = "value",
+    draws_bound: int | None = None,
+    group_bound: int | None = None,
+) -> DataFrame:
     """Mean, standard deviation and 95 % interval per group, and ``exp`` of each as ``_or``.
 
     Note that ``est_error_or`` is the exponential of a standard error, not the error of an odds ratio.
     """
-    bounds = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    out = draws.groupBy(*by).agg(
-        F.avg(value).alias("estimate"), F.stddev_samp(value).alias("est_error"), bounds.alias("_q")
-    )
-    out = out.select(*by, "estimate", "est_error", F.col("_q")[0].alias("q2_5"), F.col("_q")[1].alias("q97_5"))
+    by = list(by)
+    moments = draws.groupBy(*by).agg(F.avg(value).alias("estimate"), F.stddev_samp(value).alias("est_error"))
+    q, (low, high) = _quantiles(draws, by, value, [0.025, 0.975], draws_bound, group_bound)
+    bounds = q.select(*by, low.alias("q2_5"), high.alias("q97_5"))
+    out = moments.join(bounds, by, "left").select(*by, *SUMMARY)
     return out.withColumns({f"{c}_or": F.exp(c) for c in SUMMARY})
 
 
@@ -61,20 +80,17 @@ def _widths_as_rows(df: DataFrame, by: Sequence[str], center: Column, bounds: Se
     return df.select(*by, center.alias("median"), F.explode(entries).alias("_e")).select(*by, "median", "_e.*")
 
 
-def median_qi(draws: DataFrame, by: Sequence[str], value: str, widths: Sequence[float] = (0.95,)) -> DataFrame:
-    """Median and central intervals of draws at several widths, one row per width."""
-    probs = [0.5, *_interval_probs(widths)]
-    q = draws.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    return _widths_as_rows(q, by, F.col("_q")[0], [F.col("_q")[i + 1] for i in range(2 * len(widths))], widths)
-
-
-def median_qi_large(
-    rows: DataFrame, by: Sequence[str], value: str, widths: Sequence[float] = (0.95,), group_bound: int | None = None
+def median_qi(
+    draws: DataFrame,
+    by: Sequence[str],
+    value: str,
+    widths: Sequence[float] = (0.95,),
+    draws_bound: int | None = None,
+    group_bound: int | None = None,
 ) -> DataFrame:
-    """``median_qi`` for groups of any size."""
-    names = {"_q0": 0.5} | {f"_q{i + 1}": p for i, p in enumerate(_interval_probs(widths))}
-    q = exact_quantiles(rows, by, value, names, group_bound)
-    return _widths_as_rows(q, by, F.col("_q0"), [F.col(f"_q{i + 1}") for i in range(2 * len(widths))], widths)
+    """Median and central intervals at several widths, one row per group and width."""
+    q, cols = _quantiles(draws, by, value, [0.5, *_interval_probs(widths)], draws_bound, group_bound)
+    return _widths_as_rows(q, by, cols[0], cols[1:], widths)
 
 
 def direction_share(draws: DataFrame, by: Sequence[str], value: str, threshold: float = 0.0) -> DataFrame:
@@ -105,17 +121,38 @@ def prediction_grid(
 
     ``models`` is the proven number of models.  ``levels`` adds a column that runs over given values.
     """
+    return unpack_grid(packed_grid(df, x, subject, model, models, n, levels))
+
+
+def packed_grid(
+    df: DataFrame,
+    x: str,
+    subject: str,
+    model: str,
+    models: int,
+    n: int = 100,
+    levels: tuple[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """The prediction grid with all points of a (model, subject) as one array ``points``."""
     span = df.groupBy(model).agg(F.min(x).cast("double").alias("_low"), F.max(x).cast("double").alias("_high"))
     subjects = df.select(model, subject).distinct()
     step = (F.col("_high") - F.col("_low")) / F.lit(float(max(n - 1, 1)))
-    grid = lookup_join(subjects, span, [model], models, "inner").withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    )
-    out = [F.col(model), F.col(subject), F.col("point"), (F.col("_low") + step * F.col("point")).alias(x)]
-    if levels is not None:
-        name, values = levels
-        out.append(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    return grid.select(*out)
+
+    def point(i: Column, level: str | None = None) -> Column:
+        fields = [i.alias("point"), (F.col("_low") + step * i).alias(x)]
+        return F.struct(*fields, *([] if level is None else [F.lit(level).alias(levels[0])]))
+
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    if levels is None:
+        points = F.transform(numbers, lambda i: point(i))
+    else:
+        points = F.flatten(F.array(*[F.transform(numbers, lambda i, v=v: point(i, v)) for v in levels[1]]))
+    grid = lookup_join(subjects, span, [model], models, "inner")
+    return grid.select(model, subject, points.alias("points"))
+
+
+def unpack_grid(grid: DataFrame) -> DataFrame:
+    return grid.select(*[c for c in grid.columns if c != "points"], F.inline("points"))
 
 
 def choose_draws(draws: DataFrame, draw: str, total: int, n: int, seed: int) -> DataFrame:
@@ -136,7 +173,7 @@ def choose_draws(draws: DataFrame, draw: str, total: int, n: int, seed: int) ->
 
 def packed_draws(draws: DataFrame, model: str, draw: str, params: Sequence[str]) -> DataFrame:
     """One row per model with its draws as an array, from a wide draws table."""
-    entry = F.struct(F.col(draw).alias("draw"), *[F.col(p).alias(p) for p in params])
+    entry = F.struct(F.col(draw).alias("_draw"), *[F.col(p).alias(p) for p in params])
     return draws.groupBy(model).agg(F.array_sort(F.collect_list(entry)).alias("_draws"))
 
 
@@ -157,17 +194,25 @@ def fitted_draws(
     ``terms`` maps coefficient columns of the wide draws table to grid columns.  The draws
     of a model, a bounded number, travel to the grid as one array per model.  ``effects``
     holds subject or level effects per draw, joined on ``effect_keys`` and the draw.
+
+    A packed grid (array column ``points``) is unpacked last: the join with the effects then
+    shuffles one row per subject and draw, not one per point.
     """
     params = [*([intercept] if intercept else []), *terms]
     rows = lookup_join(grid, packed_draws(draws, model, draw, params), [model], models, "inner")
-    rows = rows.withColumn("_d", F.explode("_draws")).drop("_draws").withColumn(draw, F.col("_d.draw"))
-    eta = F.col(f"_d.{intercept}") if intercept else F.lit(0.0)
+    rows = rows.select(*grid.columns, F.inline("_draws")).withColumnRenamed("_draw", draw)
+    if effects is not None:
+        rows = rows.join(effects.select(*effect_keys, draw, effect), [*effect_keys, draw], "left")
+        rows = rows.withColumn(effect, F.coalesce(effect, F.lit(0.0)))
+    if "points" in grid.columns:
+        rows = unpack_grid(rows)
+    eta = F.col(intercept) if intercept else F.lit(0.0)
     for coefficient, column in terms.items():
-        eta = eta + F.col(f"_d.{coefficient}") * F.col(column)
+        eta = eta + F.col(coefficient) * F.col(column)
     if effects is not None:
-        rows = rows.join(effects, [*effect_keys, draw], "left")
-        eta = eta + F.coalesce(F.col(effect), F.lit(0.0))
-    return rows.select(*grid.columns, draw, inverse_logit(eta).alias("fitted"))
+        eta = eta + F.col(effect)
+    kept = [c for c in rows.columns if c not in (*params, draw, effect)]
+    return rows.select(*kept, draw, inverse_logit(eta).alias("fitted"))
 
 
 def ribbon(
@@ -184,7 +229,7 @@ def ribbon(
 
     ``scales`` has one row per ``scale_keys`` with ``mean`` and ``sd`` of the censored set.
     """
-    bands = median_qi_large(fitted, [*by, x], "fitted", widths, group_bound)
+    bands = median_qi(fitted, [*by, x], "fitted", widths, None, group_bound)
     scaled = lookup_join(bands, scales.select(*scale_keys, "mean", "sd"), list(scale_keys), scale_bound, "inner")
     return scaled.withColumn(f"{x}_raw", F.col(x) * F.col("sd") + F.col("mean")).drop("mean", "sd")
 
@@ -209,7 +254,7 @@ def contrast(
     wide = wide.withColumn("contrast", F.col(minuend) - F.col(subtrahend))
     long = wide.unpivot([*by], [*levels, "contrast"], "posterior", "value")
     bound = None if group_bound is None else group_bound * (len(levels) + 1)
-    return median_qi_large(long, [*by, "posterior"], "value", [width], bound).withColumnRenamed("median", "estimate")
+    return median_qi(long, [*by, "posterior"], "value", [width], None, bound).withColumnRenamed("median", "estimate")
 
 
 def pointwise_loglik(

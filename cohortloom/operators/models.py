@@ -21,6 +21,7 @@ from cohortloom.plans.lineage import cut
 REPLICATE = "replicate"
 MAX_STEP = 4.0
 RIDGE = 1e-9
+ROUNDS_PER_CUT = 3
 
 
 def sufficient_counts(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -113,24 +114,25 @@ def logit_fit(
     counts: DataFrame,
     keys: Sequence[str],
     xs: Sequence[str],
-    max_rounds: int = 25,
+    max_rounds: int = 24,
     tolerance: float = 1e-9,
     ridge: float = RIDGE,
 ) -> DataFrame:
     """Newton iterations for every key at once: keys, n, events, ``beta``, ``std_error``, ``step``.
 
-    Each round is one aggregation of the counts with the coefficients of the round before,
-    which are a small table written to shared storage.  A covariate that is zero in all rows
+    Each round is one aggregation of the counts with the coefficients of the round before, a
+    small table that is written to shared storage every few rounds.  A covariate that is zero in all rows
     of a key keeps coefficient 0, so models with different terms share one call.  The ridge
     term keeps separated data finite; ``step`` tells how far a key is from convergence.
     """
     keys = list(keys)
     counts = cut(counts)
-    beta, bound = None, None
-    for _ in range(max_rounds):
-        beta = cut(_newton_step(newton_sums(counts, beta, keys, xs, bound), keys, len(xs), ridge))
-        if bound is None:
-            bound = counted_bound(beta, BROADCAST_ROWS)
+    bound = counted_bound(counts.select(*keys).distinct(), BROADCAST_ROWS)
+    beta = None
+    for _ in range(-(-max_rounds // ROUNDS_PER_CUT)):
+        for _ in range(ROUNDS_PER_CUT):
+            beta = _newton_step(newton_sums(counts, beta, keys, xs, bound), keys, len(xs), ridge)
+        beta = cut(beta)
         if (beta.agg(F.max("step")).first()[0] or 0.0) < tolerance:
             break
     return beta

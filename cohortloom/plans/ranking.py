@@ -22,6 +22,9 @@ from cohortloom.plans.joins import lookup_join
 from cohortloom.plans.lineage import cut
 
 ACCURACY = 10_000
+# A group of at most this many values per unit of accuracy is ranked whole.  Above it, the bracket
+# margin is worth several ranks more than the error of the sketch.
+WHOLE_GROUP = 2
 
 
 def exact_quantiles(
@@ -39,46 +42,48 @@ def exact_quantiles(
     quantile columns; a group without values has no row.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probs = sorted(set(quantiles.values()))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     edges = _brackets(rows, by, probs, accuracy)
     if by:
-        # Null group labels must meet their own bracket, so the key is null-safe text plus a marker.
+        # Null group labels must meet their own bracket, so the key is null-safe text.
         keyed, keys = _null_safe(rows, by)
         edge_rows, _ = _null_safe(edges, by)
         joined = lookup_join(keyed, edge_rows.drop(*by), keys, group_bound, "inner").drop(*keys)
     else:
         packed = edges.select(F.struct("_lo", "_hi").alias("e"))
         joined = rows.withColumn("_e", packed.scalar()).select("_v", "_e._lo", "_e._hi")
-    cells = joined.select(*by, "_v", *_cell(len(probs))).groupBy(*by, "_cell", "_kept").agg(
-        F.count("*").alias("_c")
+    passed = _brackets_below(len(probs))
+    cells = (
+        joined.withColumn("_j", passed)
+        .select(*by, "_j", F.when(F.get("_lo", F.col("_j")) <= F.col("_v"), F.col("_v")).alias("_kept"))
+        .groupBy(*by, "_j", "_kept")
+        .agg(F.count("*").alias("_c"))
     )
+    # Value order: the values between two brackets (null) come before the next bracket.
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = cells.withColumns(
-        {
-            "_upto": F.sum("_c").over(w.orderBy("_cell", "_kept")),
-            "_n": F.sum("_c").over(w),
-        }
+    in_order = w.orderBy("_j", F.asc_nulls_first("_kept"))
+    ranked = cells.withColumns({"_upto": F.sum("_c").over(in_order), "n": F.sum("_c").over(w)})
+    # The wanted ranks: for each probability the order statistic below and the one above.
+    targets = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.lit(up).alias("up")) for i, p in enumerate(probs) for up in (0, 1)]
     )
-    picks = [F.max("_n").alias("n")]
-    for name, p in quantiles.items():
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        picks += [
-            F.max(h - F.floor(h)).alias(f"{name}__f"),
-            _order_statistic(F.floor(h) + 1).alias(f"{name}__a"),
-            _order_statistic(F.least(F.floor(h) + 2, F.col("_n"))).alias(f"{name}__b"),
-        ]
-    found = ranked.groupBy(*by).agg(*picks)
-    if not by:
-        found = found.where(F.col("n").isNotNull())
-    return found.select(
-        *by,
-        "n",
-        *[
-            (F.col(f"{q}__a") + (F.col(f"{q}__b") - F.col(f"{q}__a")) * F.col(f"{q}__f")).alias(q)
-            for q in quantiles
-        ],
+
+    def holds(t: Column) -> Column:
+        rank = F.least(F.floor((F.col("n") - 1) * t["p"]) + 1 + t["up"], F.col("n"))
+        return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    hits = ranked.select(*by, "n", "_kept", F.inline(F.filter(targets, holds)))
+    stats = (
+        hits.withColumn("_s", F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(missed))
+        .groupBy(*by, "n", "i", "p")
+        .agg(F.max(F.when(F.col("up") == 0, F.col("_s"))).alias("_a"), F.max(F.when(F.col("up") == 1, F.col("_s"))).alias("_b"))
     )
+    h = (F.col("n") - 1) * F.col("p")
+    q = F.col("_a") + (F.col("_b") - F.col("_a")) * (h - F.floor(h))
+    found = stats.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("_q"))
+    return found.select(*by, "n", *[F.col("_q")[probs.index(p)]["q"].alias(name) for name, p in quantiles.items()])
 
 
 def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
@@ -87,33 +92,25 @@ def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accura
     upper = [min(1.0, p + margin) for p in probs]
     sketch = rows.groupBy(*by).agg(
         F.percentile_approx("_v", [*lower, *upper], accuracy).alias("_s"),
+        (F.count("*") <= WHOLE_GROUP * accuracy).alias("_small"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
     k = len(probs)
-    lo = [F.col("_min") if lower[i] == 0.0 else F.col("_s")[i] for i in range(k)]
-    hi = [F.col("_max") if upper[i] == 1.0 else F.col("_s")[k + i] for i in range(k)]
+    small = F.col("_small")
+    lo = [F.when(small | F.lit(lower[i] == 0.0), F.col("_min")).otherwise(F.col("_s")[i]) for i in range(k)]
+    hi = [F.when(small | F.lit(upper[i] == 1.0), F.col("_max")).otherwise(F.col("_s")[k + i]) for i in range(k)]
     return sketch.select(*by, F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
 
 
-def _cell(k: int) -> list[Column]:
-    """Cell number in value order, and the value itself where it lies in a bracket."""
-    v = F.col("_v")
-    passed, inside = F.lit(0), F.lit(False)
+def _brackets_below(k: int) -> Column:
+    """Number of brackets that end below the value.  The bracket after these is the one that may hold it."""
+    if k > 12:
+        return F.size(F.filter("_hi", lambda h: h < F.col("_v")))
+    out = F.lit(0)
     for i in range(k):
-        passed = passed + (F.col("_hi")[i] < v).cast("int")
-        inside = inside | v.between(F.col("_lo")[i], F.col("_hi")[i])
-    return [
-        (passed * 2 + inside.cast("int")).alias("_cell"),
-        F.when(inside, v).alias("_kept"),
-    ]
-
-
-def _order_statistic(rank: Column) -> Column:
-    """Value at a 1-based rank.  Stops the job if the rank lies outside the brackets."""
-    holds_rank = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    return F.max(F.when(holds_rank, F.when(F.col("_cell") % 2 == 1, F.col("_kept")).otherwise(missed)))
+        out = out + (F.col("_hi")[i] < F.col("_v")).cast("int")
+    return out
 
 
 def _null_safe(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
