@@ -11,6 +11,7 @@ from cohortloom.functions import fixed_values as fixed
 from cohortloom.functions.scalars import poisson_one_cuts
 from cohortloom.operators import define, draws as dr, models, persist, shape
 from cohortloom.plans import event_cohort as ec
+from cohortloom.plans.lineage import cut
 
 DAY = ["subject_id", "subject_day"]
 N_DRAWS = 200
@@ -69,7 +70,7 @@ def median_qi_forty_widths(spark, sf_dir):
 
 def median_qi_of_bootstrap(spark, sf_dir):
     """Intervals of draws whose number is a setting, so that built-in percentiles apply."""
-    wide = _coefficient_draws(spark, sf_dir)
+    wide = _coefficient_draws(_stored_rows(spark, sf_dir))
     long = shape.to_long(wide, ["model", "draw"], ["b_0", "b_1"], "param")
     out = dr.median_qi(long, ["model", "param"], "value", fixed.INTERVAL_WIDTHS, draws_bound=N_DRAWS)
     return rounded(out, "width", "median", "lower", "upper")
@@ -90,33 +91,37 @@ def binned_density(spark, sf_dir):
     return rounded(dr.binned_density(_order_draws(spark, sf_dir), ["param"], "value", -1.0, 0.125), "density")
 
 
-def _model_rows(spark, sf_dir):
+def _model_rows(gappy):
     """Standardised exposure and outcome per definition: censored, scaled, complete."""
     rows = None
     for name, (flag, first, _) in ec.OUTCOMES.items():
-        kept = shape.censor_at_first(_gappy(spark, sf_dir), "subject_id", "date", first)
+        kept = shape.censor_at_first(gappy, "subject_id", "date", first)
         scaled = shape.zscore(kept.select(*DAY, "shannon", "log_abundance", F.col(flag).alias("event")), ["shannon", "log_abundance"])
         part = scaled.dropna().withColumn("model", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
-def _scales(spark, sf_dir):
+def _stored_rows(spark, sf_dir):
+    return cut(_model_rows(_gappy(spark, sf_dir)))
+
+
+def _scales(gappy):
     rows = None
     for name, (_, first, _) in ec.OUTCOMES.items():
-        kept = shape.censor_at_first(_gappy(spark, sf_dir), "subject_id", "date", first)
+        kept = shape.censor_at_first(gappy, "subject_id", "date", first)
         part = kept.agg(F.avg("shannon").alias("mean"), F.stddev_samp("shannon").alias("sd")).withColumn("model", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
-def _coefficient_draws(spark, sf_dir):
+def _coefficient_draws(rows):
     """Draws 0..N-1 of intercept and slope per model.
 
     The intercept is centred on the model's event rate in the whole cohort; the spread over
     draws follows a fixed rule, so that SQL can repeat it.
     """
-    rates = _model_rows(spark, sf_dir).groupBy("model").agg(F.avg(F.col("event").cast("double")).alias("rate"))
+    rates = rows.groupBy("model").agg(F.avg(F.col("event").cast("double")).alias("rate"))
     m = F.array_position(F.array(*[F.lit(x) for x in MODELS]), F.col("model"))
 
     def spread(shift):
@@ -127,19 +132,19 @@ def _coefficient_draws(spark, sf_dir):
     return base.select("model", "draw", (centre + spread(0)).alias("b_0"), spread(5).alias("b_1"))
 
 
-def _chosen(spark, sf_dir, n):
-    return dr.choose_draws(_coefficient_draws(spark, sf_dir), "draw", N_DRAWS, n, 16)
+def _chosen(rows, n):
+    return dr.choose_draws(_coefficient_draws(rows), "draw", N_DRAWS, n, 16)
 
 
 def prediction_grid(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir)
+    rows = _stored_rows(spark, sf_dir)
     out = dr.prediction_grid(rows, "shannon_scaled", "subject_id", "model", 3, 20, ("taxon", ["click", "view"]))
     return rounded(out.withColumn("point", F.col("point").cast("long")), "shannon_scaled")
 
 
-def _fitted(spark, sf_dir, n=20, draws=25, grid=None):
+def _fitted(spark, sf_dir, rows, n=20, draws=25, grid=None):
     if grid is None:
-        grid = dr.packed_grid(_model_rows(spark, sf_dir), "shannon_scaled", "subject_id", "model", 3, n)
+        grid = dr.packed_grid(rows, "shannon_scaled", "subject_id", "model", 3, n)
     # Subject effects come from the account balance, scaled by the draw.
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     base = customer.select(F.col("c_custkey").alias("subject_id"), (F.col("c_acctbal") / 20000).alias("_base"))
@@ -148,18 +153,19 @@ def _fitted(spark, sf_dir, n=20, draws=25, grid=None):
         "subject_id", "draw", (F.col("_base") * (1 + F.col("draw") % 3)).alias("effect")
     )
     return dr.fitted_draws(
-        grid, _chosen(spark, sf_dir, draws), "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3, effects, ["subject_id"]
+        grid, _chosen(rows, draws), "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3, effects, ["subject_id"]
     )
 
 
 def fitted_draws(spark, sf_dir):
-    out = _fitted(spark, sf_dir, 10, 10).select("model", "subject_id", "point", "draw", "fitted")
+    out = _fitted(spark, sf_dir, _stored_rows(spark, sf_dir), 10, 10).select("model", "subject_id", "point", "draw", "fitted")
     return rounded(out.withColumn("point", F.col("point").cast("long")), "fitted")
 
 
 def ribbon(spark, sf_dir):
+    gappy = _gappy(spark, sf_dir)
     out = dr.ribbon(
-        _fitted(spark, sf_dir), _scales(spark, sf_dir), ["model"], 3, ["model", "point"], "shannon_scaled", group_bound=60
+        _fitted(spark, sf_dir, cut(_model_rows(gappy))), _scales(gappy), ["model"], 3, ["model", "point"], "shannon_scaled", group_bound=60
     )
     out = out.select("model", F.col("point").cast("long").alias("point"), "shannon_scaled_raw", "width", "median", "lower", "upper")
     return rounded(out, "shannon_scaled_raw", "median", "lower", "upper")
@@ -167,17 +173,19 @@ def ribbon(spark, sf_dir):
 
 def contrast(spark, sf_dir):
     entries = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(v).alias("shannon_scaled")) for n, v in (("high", 1.0), ("mid", 0.0), ("low", -1.0))])
-    grid = _model_rows(spark, sf_dir).select("model", "subject_id").distinct().withColumn("points", entries)
-    fitted = _fitted(spark, sf_dir, grid=grid)
+    rows = _stored_rows(spark, sf_dir)
+    grid = rows.select("model", "subject_id").distinct().withColumn("points", entries)
+    fitted = _fitted(spark, sf_dir, rows, grid=grid)
     out = dr.contrast(fitted, ["model"], ["subject_id", "draw"], "level", ["low", "mid", "high"], "high", "low", group_bound=3)
     return rounded(out, "estimate", "lower", "upper", "width")
 
 
 def _loglik_scores(spark, sf_dir):
-    rows = shape.censor_at_first(_gappy(spark, sf_dir), "subject_id", "date", "first_confirmed")
+    gappy = _gappy(spark, sf_dir)
+    rows = shape.censor_at_first(gappy, "subject_id", "date", "first_confirmed")
     rows = shape.zscore(rows.select(*DAY, "shannon", F.col("confirmed").alias("event")), ["shannon"]).dropna()
     rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
-    chosen = _chosen(spark, sf_dir, 40)
+    chosen = _chosen(_model_rows(gappy), 40)
     arrays = dr.pointwise_loglik(rows, chosen, "model", "draw", "b_0", {"b_1": "shannon_scaled"}, "event", 3)
     return dr.pointwise_scores(arrays.select("model", *DAY, "loglik"))
 
@@ -191,19 +199,19 @@ def compare_models(spark, sf_dir):
     return rounded(out, *[c for c in out.columns if c not in ("model", "observations")])
 
 
+def _checks(spark, sf_dir):
+    stored = _stored_rows(spark, sf_dir)
+    rows = stored.select("model", *DAY, "shannon_scaled", "event")
+    fitted = dr.fitted_draws(rows, _chosen(stored, 40), "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3)
+    return dr.predictive_check(fitted, ["model"], "draw", DAY, "event", 16)
+
+
 def predictive_check(spark, sf_dir):
-    chosen = _chosen(spark, sf_dir, 40)
-    rows = _model_rows(spark, sf_dir).select("model", *DAY, "shannon_scaled", "event")
-    fitted = dr.fitted_draws(rows, chosen, "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3)
-    checks = dr.predictive_check(fitted, ["model"], "draw", DAY, "event", 16)
-    return rounded(checks, "replicated_rate", "observed_rate", "expected_rate")
+    return rounded(_checks(spark, sf_dir), "replicated_rate", "observed_rate", "expected_rate")
 
 
 def predictive_check_summary(spark, sf_dir):
-    chosen = _chosen(spark, sf_dir, 40)
-    rows = _model_rows(spark, sf_dir).select("model", *DAY, "shannon_scaled", "event")
-    fitted = dr.fitted_draws(rows, chosen, "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3)
-    out = dr.predictive_check_summary(dr.predictive_check(fitted, ["model"], "draw", DAY, "event", 16), ["model"])
+    out = dr.predictive_check_summary(_checks(spark, sf_dir), ["model"])
     return rounded(out, "observed_rate", "lower", "median", "upper", "share_at_or_above")
 
 
@@ -233,7 +241,7 @@ def logit_many_no_intercept(spark, sf_dir):
 
 def logit_many(spark, sf_dir):
     """y ~ 1 + standardised exposure, for three outcome definitions at once."""
-    rows = _model_rows(spark, sf_dir).withColumn("one", F.lit(1.0))
+    rows = _model_rows(_gappy(spark, sf_dir)).withColumn("one", F.lit(1.0))
     out = models.logit_many(rows, "model", "event", ["one", "shannon_scaled"])
     return rounded(out.select("model", "param", "value", "std_error"), "value", "std_error")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import r6, rounded, sql, sql_with, text_date
 from cohortloom.operators import define, persist, shape
 from cohortloom.plans import event_cohort as ec
+from cohortloom.plans.lineage import cut
 
 DAY = ["subject_id", "subject_day"]
 OUTCOMES = {name: (flag, first) for name, (flag, first, _) in ec.OUTCOMES.items()}
@@ -65,7 +66,7 @@ def persistence_count(spark, sf_dir):
 def _set(spark, sf_dir, mode, dedup):
     gappy = _gappy(spark, sf_dir)
     cols = [*DAY, "date", "shannon", "suspected", "confirmed", "first_confirmed"]
-    filled = ec.filled_calendar(gappy)
+    filled = cut(ec.filled_calendar(gappy))
     out = persist.persistence_set(
         gappy.select(*cols), filled.select(*cols), "subject_id", "subject_day", "date",
         "confirmed", "first_confirmed", "shannon", "<", 0.6, mode, "suspected", dedup, block_days=7,
@@ -89,20 +90,29 @@ def persistence_set_full(spark, sf_dir):
     return _set(spark, sf_dir, "full", "before")
 
 
-def grid_rows(spark, sf_dir):
+def grid_rows(spark, sf_dir, together=True):
     return persist.persistence_grid(
-        ec.filled_calendar(_gappy(spark, sf_dir)), "subject_id", "subject_day", "date", "synthetic",
-        OUTCOMES, MEASURES, "suspected", block_days=7,
+        cut(ec.filled_calendar(_gappy(spark, sf_dir))), "subject_id", "subject_day", "date", "synthetic",
+        OUTCOMES, MEASURES, "suspected", flags_missing_together=together, block_days=7,
     )
 
 
-def persistence_grid(spark, sf_dir):
-    """All 27 sets, collapsed to observations and events per count."""
-    return grid_rows(spark, sf_dir).groupBy("mode", "measure", "outcome", "low_count").agg(
+def _grid_counts(rows):
+    return rows.groupBy("mode", "measure", "outcome", "low_count").agg(
         F.count("*").alias("observations"), F.count_if("event").alias("events")
     )
 
 
+def persistence_grid(spark, sf_dir):
+    """All 27 sets, collapsed to observations and events per count."""
+    return _grid_counts(grid_rows(spark, sf_dir))
+
+
+def persistence_grid_separate_flags(spark, sf_dir):
+    """The same where each outcome flag may be missing on rows of its own."""
+    return _grid_counts(grid_rows(spark, sf_dir, together=False))
+
+
 QUERIES = {
     "event_rate_by_persistence": event_rate_by_persistence,
     "diversity": diversity,
@@ -115,6 +125,7 @@ QUERIES = {
     "persistence_set_event_day_counted_twice": persistence_set_event_day_counted_twice,
     "persistence_set_full": persistence_set_full,
     "persistence_grid": persistence_grid,
+    "persistence_grid_separate_flags": persistence_grid_separate_flags,
 }
 
 
@@ -219,4 +230,5 @@ FROM gappy"""
         f"SELECT subject_id, subject_day, shannon, confirmed, shannon < 0.6 AS f FROM filled WHERE {_STOP} AND shannon IS NOT NULL AND confirmed IS NOT NULL"
     ),
     "persistence_grid": _grid_sql(),
+    "persistence_grid_separate_flags": _grid_sql(),
 }

@@ -144,9 +144,8 @@ def analysis_set(spark, sf_dir):
 
 
 def _imputed(spark, sf_dir, mode):
-    raw = _gappy(spark, sf_dir).select(*DAY, "shannon", "log_abundance", "suspected")
-    filled = ec.filled_calendar(_gappy(spark, sf_dir)).select(*DAY, "shannon", "log_abundance", "suspected")
-    return shape.impute(raw, filled, mode, "suspected")
+    gappy, cols = _gappy(spark, sf_dir), [*DAY, "shannon", "log_abundance", "suspected"]
+    return shape.impute(gappy.select(*cols), ec.filled_calendar(gappy).select(*cols), mode, "suspected")
 
 
 def impute_event_day(spark, sf_dir):
@@ -159,8 +158,10 @@ def impute_full(spark, sf_dir):
 
 
 def imputation_share(spark, sf_dir):
-    total = _imputed(spark, sf_dir, "event_day").where(F.col("shannon").isNotNull()).distinct()
-    observed = _gappy(spark, sf_dir).where(F.col("shannon").isNotNull())
+    gappy, cols = _gappy(spark, sf_dir), [*DAY, "shannon", "log_abundance", "suspected"]
+    both = shape.impute(gappy.select(*cols), ec.filled_calendar(gappy).select(*cols), "event_day", "suspected", dedup=True)
+    total = both.where(F.col("shannon").isNotNull())
+    observed = gappy.where(F.col("shannon").isNotNull())
     return shape.imputation_share(total, observed)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.scalars import inverse_logit, unit_hash, value_label
 from cohortloom.plans.joins import lookup_join
+from cohortloom.plans.lineage import cut
 from cohortloom.plans.ranking import exact_quantiles
 
 SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
@@ -138,15 +139,17 @@ def packed_grid(
     subjects = df.select(model, subject).distinct()
     step = (F.col("_high") - F.col("_low")) / F.lit(float(max(n - 1, 1)))
 
-    def point(i: Column, level: str | None = None) -> Column:
-        fields = [i.alias("point"), (F.col("_low") + step * i).alias(x)]
-        return F.struct(*fields, *([] if level is None else [F.lit(level).alias(levels[0])]))
+    def point(i: Column) -> Column:
+        return F.struct(i.alias("point"), (F.col("_low") + step * i).alias(x))
+
+    def at_level(v):
+        return lambda i: F.struct(i.alias("point"), (F.col("_low") + step * i).alias(x), F.lit(v).alias(levels[0]))
 
     numbers = F.sequence(F.lit(0), F.lit(n - 1))
     if levels is None:
-        points = F.transform(numbers, lambda i: point(i))
+        points = F.transform(numbers, point)
     else:
-        points = F.flatten(F.array(*[F.transform(numbers, lambda i, v=v: point(i, v)) for v in levels[1]]))
+        points = F.flatten(F.array(*[F.transform(numbers, at_level(v)) for v in levels[1]]))
     grid = lookup_join(subjects, span, [model], models, "inner")
     return grid.select(model, subject, points.alias("points"))
 
@@ -306,7 +309,9 @@ def compare_models(scores: DataFrame, model: str, obs: Sequence[str], criterion:
     """Rank models by summed ``criterion`` and compare each with the best, observation by observation.
 
     ``scores`` is the result of ``pointwise_scores`` for models that share their observations.
+    It is stored first, as it is costly to work out and read more than once.
     """
+    scores = cut(scores)
     sums = scores.groupBy(model).agg(
         F.count("*").alias("observations"),
         F.sum("elpd_waic").alias("elpd_waic"),

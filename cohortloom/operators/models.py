@@ -126,7 +126,7 @@ def logit_fit(
     term keeps separated data finite; ``step`` tells how far a key is from convergence.
     """
     keys = list(keys)
-    counts = cut(counts)
+    counts = cut(counts)  # read once per round
     bound = counted_bound(counts.select(*keys).distinct(), BROADCAST_ROWS)
     beta = None
     for _ in range(-(-max_rounds // ROUNDS_PER_CUT)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalars import compare
@@ -136,6 +136,7 @@ def persistence_grid(
     measures: dict[str, tuple[str, str, str, float]],
     broad_flag: str,
     modes: Sequence[str] = ("none", "event_day", "full"),
+    flags_missing_together: bool = False,
     block_days: int = DEFAULT_BLOCK_DAYS,
 ) -> DataFrame:
     """All persistence sets of outcomes x measures x imputation modes in one pass.
@@ -147,72 +148,67 @@ def persistence_grid(
     The sets become columns of one table, so the rows are shuffled once for all of them.
     Imputing an event day means taking the carried value where the raw one is missing, which
     needs no union.  Sets turn into rows at the end, without a shuffle.
+
+    ``flags_missing_together`` says that the outcome flags are null on the same rows; counts
+    are then worked out once for all outcomes.
     """
-    d = F.col(date)
-    sets: list[tuple[str, str, str, Column, Column]] = []
+    observed = f"NOT `{synthetic}`"
+    event_day = f"({observed} AND coalesce(`{broad_flag}`, false))"
+    # Censoring keeps the first part of a timeline, and a count looks back only, so the count of a
+    # kept row does not depend on the outcome.  Only missing outcome flags can make a difference.
+    present = {o: "all" if flags_missing_together else o for o in outcomes}
+    codes: dict[tuple[str, str, str], str] = {}
     for mode in modes:
         for measure, (raw, carried, op, threshold) in measures.items():
-            observed = ~F.col(synthetic)
-            event_day = observed & F.coalesce(F.col(broad_flag), F.lit(False))
             value = {
-                "none": F.when(observed, F.col(raw)),
-                "event_day": F.when(observed, F.coalesce(raw, F.when(event_day, F.col(carried)))),
-                "full": F.col(carried),
+                "none": f"CASE WHEN {observed} THEN `{raw}` END",
+                "event_day": f"CASE WHEN {observed} THEN coalesce(`{raw}`, CASE WHEN {event_day} THEN `{carried}` END) END",
+                "full": f"`{carried}`",
             }[mode]
-            for outcome, (flag, first) in outcomes.items():
-                in_time = d.isNotNull() & (F.col(first).isNull() | (d <= F.col(first)))
-                # 1 = disrupted, 0 = not, null = the row takes no part in this set.
-                code = F.when(
-                    in_time & F.col(flag).isNotNull(), compare(value, op, threshold).cast("tinyint")
+            for outcome, (flag, _) in outcomes.items():
+                usable = f"`{date}` IS NOT NULL AND `{flag}` IS NOT NULL"
+                # 1 = disrupted, 0 = not, null = the row takes no part.
+                codes[mode, measure, present[outcome]] = (
+                    f"CASE WHEN {usable} THEN CAST({value} {op} {threshold!r} AS TINYINT) END"
                 )
-                sets.append((mode, measure, outcome, F.col(flag), code))
-
-    keys = [subject, BLOCK]
-    upto = in_block([subject], [day])
-    k = range(len(sets))
-    flags = list(dict.fromkeys(flag for flag, _ in outcomes.values()))
-    coded = calendar.withColumn(BLOCK, day_block(day, block_days)).select(
-        *keys, day, *flags, *[code.alias(f"_s{i}") for i, (*_, code) in enumerate(sets)]
-    )
-    # The flags are packed before the shuffle: one small row per subject-day.
-    rows = coded.select(
-        "*", *[F.count(f"_s{i}").over(upto).cast("int").alias(f"_p{i}") for i in k]
-    )
-    rows = rows.select(
-        "*", *[F.max(F.when(F.col(f"_s{i}") == 0, F.col(f"_p{i}"))).over(upto).alias(f"_z{i}") for i in k]
+    number = {key: i for i, key in enumerate(codes)}
+
+    # Expressions are written as SQL text here: dozens of sets would otherwise mean
+    # thousands of calls into the JVM while the plan is built.
+    keys = f"`{subject}`", BLOCK
+    upto = f"OVER (PARTITION BY {keys[0]}, {BLOCK} ORDER BY `{day}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    k = range(len(codes))
+    # The codes are worked out before the shuffle: one small row per subject-day.
+    events = [
+        f"CASE WHEN `{date}` IS NOT NULL AND (`{first}` IS NULL OR `{date}` <= `{first}`) THEN `{flag}` END AS _event_{outcome}"
+        for outcome, (flag, first) in outcomes.items()
+    ]
+    rows = calendar.withColumn(BLOCK, day_block(day, block_days)).selectExpr(
+        *keys, f"`{day}`", *events, *[f"{code} AS _s{i}" for i, code in enumerate(codes.values())]
     )
-    summary = {f"_size{i}": F.max(f"_p{i}") for i in k} | {f"_last{i}": F.max(f"_z{i}") for i in k}
+    rows = rows.selectExpr("*", *[f"CAST(count(_s{i}) {upto} AS INT) AS _p{i}" for i in k])
+    rows = rows.selectExpr("*", *[f"max(CASE WHEN _s{i} = 0 THEN _p{i} END) {upto} AS _z{i}" for i in k])
+    summary = {
+        "_sizes": F.expr("array(" + ", ".join(f"max(_p{i})" for i in k) + ")"),
+        "_lasts": F.expr("array(" + ", ".join(f"max(_z{i})" for i in k) + ")"),
+    }
 
     def state(per_block, w):
-        before = earlier_blocks(w)
-        per_block = per_block.select(
-            "*", *[F.coalesce(F.sum(f"_size{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in k]
-        )
-        run = [
-            F.col(f"_b{i}")
-            - F.coalesce(F.last(F.col(f"_b{i}") + F.col(f"_last{i}"), ignorenulls=True).over(before), F.lit(0))
-            for i in k
-        ]
-        return per_block.select(*keys, F.array(*run).alias("_runs"))
+        before = f"OVER (PARTITION BY {keys[0]} ORDER BY {BLOCK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        per_block = per_block.selectExpr("*", *[f"coalesce(sum(_sizes[{i}]) {before}, 0) AS _b{i}" for i in k])
+        runs = [f"_b{i} - coalesce(last(_b{i} + _lasts[{i}], true) {before}, 0)" for i in k]
+        return per_block.selectExpr(*keys, f"array({', '.join(runs)}) AS _runs")
 
     rows = attach_block_state(rows, [subject], summary, state, ["_runs"])
-    entries = F.array(
-        *[
-            F.when(
-                F.col(f"_s{i}").isNotNull(),
-                F.struct(
-                    F.lit(mode).alias("mode"),
-                    F.lit(measure).alias("measure"),
-                    F.lit(outcome).alias("outcome"),
-                    flag.alias("event"),
-                    F.coalesce(F.col(f"_p{i}") - F.col(f"_z{i}"), F.col("_runs")[i] + F.col(f"_p{i}"))
-                    .cast("long")
-                    .alias("low_count"),
-                ),
-            )
-            for i, (mode, measure, outcome, flag, _) in enumerate(sets)
-        ]
-    )
-    return rows.select(subject, day, F.explode(entries).alias("_e")).where(F.col("_e").isNotNull()).select(
-        subject, day, "_e.*"
-    )
+    entries = []
+    for mode in modes:
+        for measure in measures:
+            for outcome in outcomes:
+                i = number[mode, measure, present[outcome]]
+                entries.append(
+                    f"CASE WHEN _s{i} IS NOT NULL AND _event_{outcome} IS NOT NULL THEN "
+                    f"named_struct('mode', '{mode}', 'measure', '{measure}', 'outcome', '{outcome}', 'event', _event_{outcome}, "
+                    f"'low_count', CAST(coalesce(_p{i} - _z{i}, _runs[{i}] + _p{i}) AS BIGINT)) END"
+                )
+    long = rows.selectExpr(keys[0], f"`{day}`", f"explode(array({', '.join(entries)})) AS _e")
+    return long.where(F.col("_e").isNotNull()).select(subject, day, "_e.*")

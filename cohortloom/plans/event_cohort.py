@@ -7,11 +7,11 @@ and stricter outcome definitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.shape import densify_calendar
-from cohortloom.plans.blocks import attach_subject_value, date_block
+from cohortloom.plans.lineage import cut
 
 OUTCOMES = {
     "suspected": ("suspected", "first_suspected", 100.0),
@@ -72,14 +72,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with the day since the subject's first date and the first date of each outcome."""
-    rows = samples(spark, sf_dir)
-    state = {"_start": (F.min("date"), F.min)}
-    for flag, first, _ in OUTCOMES.values():
-        state[first] = (F.min(F.when(F.col(flag), F.col("date"))), F.min)
-    # Blocks of a week: a subject's days are spread over several tasks.
-    rows = attach_subject_value(rows, "subject_id", date_block("date", 7), state)
-    return rows.withColumn("subject_day", F.date_diff("date", "_start").cast("long")).drop("_start")
+    """Samples with the day since the subject's first date and the first date of each outcome.
+
+    Samples hold one row per subject and date, so a subject has at most as many rows as the
+    log has days and a plain window per subject is bounded.  The table is stored: operators
+    that scan timelines read their input twice, and the log should be read once.
+    """
+    w = Window.partitionBy("subject_id")
+    firsts = {first: F.min(F.when(F.col(flag), F.col("date"))).over(w) for flag, first, _ in OUTCOMES.values()}
+    rows = samples(spark, sf_dir).withColumns({"_start": F.min("date").over(w), **firsts})
+    return cut(rows.withColumn("subject_day", F.date_diff("date", "_start").cast("long")).drop("_start"))
 
 
 def with_missing(df: DataFrame) -> DataFrame:
