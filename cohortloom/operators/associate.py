@@ -17,6 +17,11 @@ def _interval(r: Column, n: Column) -> tuple[Column, Column]:
     return F.tanh(inside - half), F.tanh(inside + half)
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation of rows that have both values; null, not an error, for a constant column."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def _shares_sign(*cols: str) -> Column:
     above, below = F.lit(True), F.lit(True)
     for c in cols:
@@ -30,7 +35,7 @@ def correlate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     for i, (x, y) in enumerate(pairs):
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         aggs += [
-            F.corr(F.when(both, F.col(x)), F.when(both, F.col(y))).alias(f"_r{i}"),
+            _pearson(F.when(both, F.col(x)), F.when(both, F.col(y))).alias(f"_r{i}"),
             F.count_if(both).alias(f"_n{i}"),
         ]
     entries = F.array(
@@ -59,7 +64,7 @@ def correlate_by(
         subset=["_x", "_y"]
     )
     if center == "stratum":
-        r = F.corr("_x", "_y")
+        r = _pearson(F.col("_x"), F.col("_y"))
     else:
         means = pairs.agg(F.struct(F.avg("_x").alias("x"), F.avg("_y").alias("y")).alias("m"))
         pairs = pairs.withColumn("_m", means.scalar()).select(

@@ -2,7 +2,7 @@
 
 A draws table is long: (model, draw, parameter, value).  Where the caller can prove how
 many draws a group holds (``draws_bound``), built-in percentiles apply; otherwise quantiles
-come from ``exact_quantiles``, which has no limit on the size of a group.
+come from ``quantile_arrays``, which has no limit on the size of a group.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.scalars import inverse_logit, unit_hash, value_label
 from cohortloom.plans.joins import lookup_join
 from cohortloom.plans.lineage import cut
-from cohortloom.plans.ranking import exact_quantiles
+from cohortloom.plans.ranking import quantile_arrays
 
 SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
 
@@ -25,13 +25,11 @@ DRAWS_IN_ONE_TASK = 100_000
 
 def _quantiles(
     rows: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], draws_bound: int | None, group_bound: int | None
-) -> tuple[DataFrame, list[Column]]:
-    """One row per group and the columns that hold the wanted quantiles."""
+) -> DataFrame:
+    """One row per group with the wanted quantiles as an array."""
     if draws_bound is not None and draws_bound <= DRAWS_IN_ONE_TASK:
-        q = rows.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        return q, [F.col("_q")[i] for i in range(len(probs))]
-    names = {f"_q{i}": p for i, p in enumerate(probs)}
-    return exact_quantiles(rows, by, value, names, group_bound), [F.col(n) for n in names]
+        return rows.groupBy(*by).agg(F.percentile(value, F.lit(list(probs))).alias("quantiles"))
+    return quantile_arrays(rows, by, value, probs, group_bound).drop("n")
 
 
 def draws_summary(
@@ -47,8 +45,8 @@ def draws_summary(
     """
     by = list(by)
     moments = draws.groupBy(*by).agg(F.avg(value).alias("estimate"), F.stddev_samp(value).alias("est_error"))
-    q, (low, high) = _quantiles(draws, by, value, [0.025, 0.975], draws_bound, group_bound)
-    bounds = q.select(*by, low.alias("q2_5"), high.alias("q97_5"))
+    q = _quantiles(draws, by, value, [0.025, 0.975], draws_bound, group_bound)
+    bounds = q.select(*by, F.col("quantiles")[0].alias("q2_5"), F.col("quantiles")[1].alias("q97_5"))
     out = moments.join(bounds, by, "left").select(*by, *SUMMARY)
     return out.withColumns({f"{c}_or": F.exp(c) for c in SUMMARY})
 
@@ -71,16 +69,6 @@ def _interval_probs(widths: Sequence[float]) -> list[float]:
     return [p for w in widths for p in ((1 - w) / 2, (1 + w) / 2)]
 
 
-def _widths_as_rows(df: DataFrame, by: Sequence[str], center: Column, bounds: Sequence[Column], widths: Sequence[float]) -> DataFrame:
-    entries = F.array(
-        *[
-            F.struct(F.lit(float(w)).alias("width"), bounds[2 * i].alias("lower"), bounds[2 * i + 1].alias("upper"))
-            for i, w in enumerate(widths)
-        ]
-    )
-    return df.select(*by, center.alias("median"), F.explode(entries).alias("_e")).select(*by, "median", "_e.*")
-
-
 def median_qi(
     draws: DataFrame,
     by: Sequence[str],
@@ -90,8 +78,13 @@ def median_qi(
     group_bound: int | None = None,
 ) -> DataFrame:
     """Median and central intervals at several widths, one row per group and width."""
-    q, cols = _quantiles(draws, by, value, [0.5, *_interval_probs(widths)], draws_bound, group_bound)
-    return _widths_as_rows(q, by, cols[0], cols[1:], widths)
+    q = _quantiles(draws, by, value, [0.5, *_interval_probs(widths)], draws_bound, group_bound)
+    listed = ", ".join(f"{float(w)!r}D" for w in widths)
+    per_width = (
+        f"inline(transform(array({listed}), (w, i) -> "
+        "named_struct('width', w, 'lower', quantiles[2 * i + 1], 'upper', quantiles[2 * i + 2])))"
+    )
+    return q.selectExpr(*[f"`{b}`" for b in by], "quantiles[0] AS median", per_width)
 
 
 def direction_share(draws: DataFrame, by: Sequence[str], value: str, threshold: float = 0.0) -> DataFrame:

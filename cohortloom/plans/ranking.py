@@ -41,8 +41,22 @@ def exact_quantiles(
     bound on the number of groups, when there is one.  Returns ``by``, ``n`` and the
     quantile columns; a group without values has no row.
     """
+    probs = list(quantiles.values())
+    found = quantile_arrays(df, by, value, probs, group_bound, accuracy)
+    return found.select(*by, "n", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(quantiles)])
+
+
+def quantile_arrays(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    group_bound: int | None = None,
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """``by``, ``n`` and an array ``quantiles`` in the order of ``probs``."""
     by = list(by)
-    probs = sorted(set(quantiles.values()))
+    wanted, probs = list(probs), sorted(set(probs))
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     edges = _brackets(rows, by, probs, accuracy)
     if by:
@@ -53,9 +67,9 @@ def exact_quantiles(
     else:
         packed = edges.select(F.struct("_lo", "_hi").alias("e"))
         joined = rows.withColumn("_e", packed.scalar()).select("_v", "_e._lo", "_e._hi")
-    passed = _brackets_below(len(probs))
+    # The first bracket that does not end below the value is the only one that may hold it.
     cells = (
-        joined.withColumn("_j", passed)
+        count_below(joined, "_hi", len(probs), "_v", "_j")
         .select(*by, "_j", F.when(F.get("_lo", F.col("_j")) <= F.col("_v"), F.col("_v")).alias("_kept"))
         .groupBy(*by, "_j", "_kept")
         .agg(F.count("*").alias("_c"))
@@ -65,25 +79,42 @@ def exact_quantiles(
     in_order = w.orderBy("_j", F.asc_nulls_first("_kept"))
     ranked = cells.withColumns({"_upto": F.sum("_c").over(in_order), "n": F.sum("_c").over(w)})
     # The wanted ranks: for each probability the order statistic below and the one above.
-    targets = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.lit(up).alias("up")) for i, p in enumerate(probs) for up in (0, 1)]
+    literals = ", ".join(f"{p!r}D" for p in probs)
+    targets = f"transform(array({literals}), (p, i) -> named_struct('i', i, 'p', p))"
+    rank = "least(floor((n - 1) * t.p) + {up}, n)"
+    hits = ranked.selectExpr(
+        *[f"`{b}`" for b in by], "n", "_kept", "_upto - _c AS _from", "_upto",
+        f"inline(filter({targets}, t -> _upto >= {rank.format(up=1)} AND _upto - _c < {rank.format(up=2)}))",
     )
-
-    def holds(t: Column) -> Column:
-        rank = F.least(F.floor((F.col("n") - 1) * t["p"]) + 1 + t["up"], F.col("n"))
-        return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
-
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    hits = ranked.select(*by, "n", "_kept", F.inline(F.filter(targets, holds)))
+    kept = "CASE WHEN _kept IS NULL THEN CAST(raise_error('a quantile lies outside its bracket') AS DOUBLE) ELSE _kept END"
+    bounds = [
+        f"CASE WHEN _upto >= {r} AND _from < {r} THEN {kept} END AS {name}"
+        for name, r in (("_a", "least(floor((n - 1) * p) + 1, n)"), ("_b", "least(floor((n - 1) * p) + 2, n)"))
+    ]
     stats = (
-        hits.withColumn("_s", F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(missed))
+        hits.selectExpr(*[f"`{b}`" for b in by], "n", "i", "p", *bounds)
         .groupBy(*by, "n", "i", "p")
-        .agg(F.max(F.when(F.col("up") == 0, F.col("_s"))).alias("_a"), F.max(F.when(F.col("up") == 1, F.col("_s"))).alias("_b"))
+        .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     )
     h = (F.col("n") - 1) * F.col("p")
     q = F.col("_a") + (F.col("_b") - F.col("_a")) * (h - F.floor(h))
     found = stats.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("_q"))
-    return found.select(*by, "n", *[F.col("_q")[probs.index(p)]["q"].alias(name) for name, p in quantiles.items()])
+    places = ", ".join(str(probs.index(p)) for p in wanted)
+    return found.selectExpr(*[f"`{b}`" for b in by], "n", f"transform(array({places}), k -> _q[k].q) AS quantiles")
+
+
+def count_below(df: DataFrame, edges: str, k: int, value: str, out: str) -> DataFrame:
+    """Number of the ``k`` sorted edges that are smaller than the value, by binary search.
+
+    Each halving is a projection of its own, so the generated code stays short.
+    """
+    size = 1 << k.bit_length()
+    padded = f"concat(`{edges}`, array_repeat(double('inf'), {size - 1 - k}))" if size - 1 > k else f"`{edges}`"
+    df = df.withColumn("_padded", F.expr(padded)).withColumn(out, F.lit(0))
+    while size > 1:
+        size //= 2
+        df = df.withColumn(out, F.expr(f"`{out}` + CASE WHEN get(_padded, `{out}` + {size - 1}) < `{value}` THEN {size} ELSE 0 END"))
+    return df.drop("_padded")
 
 
 def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
@@ -97,20 +128,13 @@ def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accura
         F.max("_v").alias("_max"),
     )
     k = len(probs)
-    small = F.col("_small")
-    lo = [F.when(small | F.lit(lower[i] == 0.0), F.col("_min")).otherwise(F.col("_s")[i]) for i in range(k)]
-    hi = [F.when(small | F.lit(upper[i] == 1.0), F.col("_max")).otherwise(F.col("_s")[k + i]) for i in range(k)]
-    return sketch.select(*by, F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
-
-
-def _brackets_below(k: int) -> Column:
-    """Number of brackets that end below the value.  The bracket after these is the one that may hold it."""
-    if k > 12:
-        return F.size(F.filter("_hi", lambda h: h < F.col("_v")))
-    out = F.lit(0)
-    for i in range(k):
-        out = out + (F.col("_hi")[i] < F.col("_v")).cast("int")
-    return out
+    first = ", ".join("_min" if p == 0.0 else f"_s[{i}]" for i, p in enumerate(lower))
+    last = ", ".join("_max" if p == 1.0 else f"_s[{k + i}]" for i, p in enumerate(upper))
+    return sketch.selectExpr(
+        *[f"`{b}`" for b in by],
+        f"CASE WHEN _small THEN array_repeat(_min, {k}) ELSE array({first}) END AS _lo",
+        f"CASE WHEN _small THEN array_repeat(_max, {k}) ELSE array({last}) END AS _hi",
+    )
 
 
 def _null_safe(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -143,9 +167,8 @@ def midrank_counts(
         .groupBy(by)
         .agg(F.percentile_approx(F.col(value).cast("double"), probs, 4 * blocks).alias("_edges"))
     )
-    placed = lookup_join(distinct, edges, [by], levels, "inner").withColumn(
-        "_block", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    ).drop("_edges")
+    joined = lookup_join(distinct, edges, [by], levels, "inner")
+    placed = count_below(joined, "_edges", blocks - 1, "_v", "_block").drop("_edges")
     totals = placed.groupBy(by, "_block").agg(F.sum("ties").alias("_rows"))
     w = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(by, "_block", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_before"))

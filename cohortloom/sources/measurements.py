@@ -31,13 +31,7 @@ def read_measurements(
     if file_format == "parquet":
         df = spark.read.schema(schema).parquet(path)
     elif file_format in ("csv", "tsv"):
-        df = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("sep", "\t" if file_format == "tsv" else ",")
-            .option("nullValue", null_token)
-            .csv(path)
-        )
+        df = _text_options(spark.read.schema(schema), file_format, null_token).csv(path)
     else:
         raise ValueError(f"unknown file format {file_format!r}")
     cleaned = {c: clean_numeric(c, sentinels, null_token) for c in numeric}
@@ -46,6 +40,11 @@ def read_measurements(
     return df.withColumns(derived) if derived else df
 
 
+def _text_options(io, file_format: str, null_token: str):
+    sep = "\t" if file_format == "tsv" else ","
+    return io.option("header", True).option("sep", sep).option("nullValue", null_token)
+
+
 def clean_numeric(column: str, sentinels: Sequence[str], null_token: str = fixed.NULL_TOKEN):
     text = F.col(column).cast("string")
     return F.when(~text.isin(*sentinels, null_token), text.try_cast("double"))
@@ -71,7 +70,7 @@ def write_results(
     if file_format == "parquet":
         writer.parquet(path)
     elif file_format in ("csv", "tsv"):
-        writer.option("header", True).option("sep", "\t" if file_format == "tsv" else ",").csv(path)
+        _text_options(writer, file_format, fixed.NULL_TOKEN).csv(path)
     else:
         raise ValueError(f"unknown file format {file_format!r}")
 
@@ -81,4 +80,4 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType | str, fil
     reader = spark.read.schema(schema)
     if file_format == "parquet":
         return reader.parquet(path)
-    return reader.option("header", True).option("sep", "\t" if file_format == "tsv" else ",").csv(path)
+    return _text_options(reader, file_format, fixed.NULL_TOKEN).csv(path)
