@@ -104,7 +104,9 @@ def define_outcome(
     A culture order alone; with growth; with growth and signs; with these and a treatment
     change within ``window_hours`` of the culture, before or after.
     """
-    flagged = within_hours(cultures, treatments, subject, ts, window_hours, "_treated")
+    # Copies of a culture say nothing new, and would all be sent to one task.
+    distinct = cultures.select(subject, ts, growth, signs).distinct()
+    flagged = within_hours(distinct, treatments, subject, ts, window_hours, "_treated")
     grown, sick = F.coalesce(growth, F.lit(False)), F.coalesce(signs, F.lit(False))
     tests = [F.lit(True), grown, grown & sick, grown & sick & F.col("_treated")]
     return flagged.groupBy(subject, F.to_date(ts).alias("date")).agg(

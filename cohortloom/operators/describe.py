@@ -131,14 +131,15 @@ def box_summary(long: DataFrame, by: Sequence[str], value: str, group_bound: int
     by = list(by)
     quartiles = exact_quantiles(long, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group_bound)
     fences = quartiles.withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))
-    rows = lookup_join(long.where(F.col(value).isNotNull()).select(*by, value), fences, by, group_bound, "inner")
+    counted = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_times"))
+    rows = lookup_join(counted, fences, by, group_bound, "inner")
     inside = F.col(value).between(F.col("q1") - F.col("_reach"), F.col("q3") + F.col("_reach"))
     return rows.groupBy(*by).agg(
         F.first("n").alias("n"),
         *[F.first(q).alias(q) for q in ("q1", "median", "q3")],
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(~inside, F.col("_times")).otherwise(0)).alias("outliers"),
     )
 
 
@@ -149,7 +150,6 @@ def baseline_table(
     continuous: Sequence[str],
     categorical: Sequence[str] = (),
     flags: Sequence[str] = (),
-    category_bound: int | None = None,
 ) -> DataFrame:
     """Baseline characteristics, overall and per group, as a long table.
 
@@ -174,8 +174,9 @@ def baseline_table(
     if named:
         long = to_long(doubled, ["_group"], named, "variable", "level", value_type="string")
         counts = long.groupBy("variable", "_group", "level").agg(F.count("*").alias("count"))
-        total = F.sum("count").over(Window.partitionBy("variable", "_group"))
-        shares = counts.withColumn("percent", F.lit(100.0) * F.col("count") / total)
+        totals = counts.groupBy("variable", "_group").agg(F.sum("count").alias("_total"))
+        shares = lookup_join(counts, totals, ["variable", "_group"], len(named) * (len(by_levels) + 1), "inner")
+        shares = shares.withColumn("percent", F.lit(100.0) * F.col("count") / F.col("_total"))
         shown = ~F.col("variable").isin(*flags) | (F.col("level") == "true") if flags else F.lit(True)
         none = F.lit(None).cast("double")
         parts.append(
@@ -243,15 +244,14 @@ def contingency_statistics(long: DataFrame, variable: str, level: str, group: st
         F.count("*").alias("_groups"), F.min("_k").alias("_k_min"), F.min(group).alias("_g1")
     )
     parts = (
-        cells.join(rows, [variable, level])
-        .join(cols, [variable, group])
+        lookup_join(cells.join(rows, [variable, level]), cols, [variable, group], None, "inner")
         .groupBy(variable)
         .agg(F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_k"))).alias("_phi"))
     )
     totals = row_shape.join(col_shape, variable)
     first_level, first_group = F.col(level) == F.col("_l1"), F.col(group) == F.col("_g1")
     corners = (
-        cells.join(totals.where((F.col("_levels") == 2) & (F.col("_groups") == 2)), variable)
+        lookup_join(cells, totals.where((F.col("_levels") == 2) & (F.col("_groups") == 2)), [variable], None, "inner")
         .groupBy(variable)
         .agg(
             F.sum(F.when(first_level & first_group, F.col("_o")).otherwise(0.0)).alias("a"),

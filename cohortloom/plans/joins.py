@@ -17,7 +17,8 @@ def salted_join(
     """Equi-join where a few keys may hold most of the left rows.
 
     The left rows of a key are spread over ``salts`` tasks by a hash of the row; the right
-    side, unique by key, is repeated once per salt.
+    side, unique by key, is repeated once per salt.  Equal rows share a salt: count copies
+    into one row before the join where there can be many of them.
     """
     spread = left.withColumn(SALT, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     repeated = unique.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.plans.joins import lookup_join
+from cohortloom.plans.joins import BROADCAST_ROWS, lookup_join
 from cohortloom.plans.lineage import cut
 
 ACCURACY = 10_000
@@ -59,20 +59,24 @@ def quantile_arrays(
     wanted, probs = list(probs), sorted(set(probs))
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     edges = _brackets(rows, by, probs, accuracy)
+    rows = rows.withColumn("_times", F.lit(1).cast("long"))
     if by:
+        if group_bound is None or group_bound > BROADCAST_ROWS:
+            # Equal values would all get the same salt, so they are counted before the salted join.
+            rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times"))
         # Null group labels must meet their own bracket, so the key is null-safe text.
         keyed, keys = _null_safe(rows, by)
         edge_rows, _ = _null_safe(edges, by)
         joined = lookup_join(keyed, edge_rows.drop(*by), keys, group_bound, "inner").drop(*keys)
     else:
         packed = edges.select(F.struct("_lo", "_hi").alias("e"))
-        joined = rows.withColumn("_e", packed.scalar()).select("_v", "_e._lo", "_e._hi")
+        joined = rows.withColumn("_e", packed.scalar()).select("_v", "_times", "_e._lo", "_e._hi")
     # The first bracket that does not end below the value is the only one that may hold it.
     cells = (
         count_below(joined, "_hi", len(probs), "_v", "_j")
-        .select(*by, "_j", F.when(F.get("_lo", F.col("_j")) <= F.col("_v"), F.col("_v")).alias("_kept"))
+        .select(*by, "_j", F.when(F.get("_lo", F.col("_j")) <= F.col("_v"), F.col("_v")).alias("_kept"), "_times")
         .groupBy(*by, "_j", "_kept")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_times").alias("_c"))
     )
     # Value order: the values between two brackets (null) come before the next bracket.
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
