@@ -269,7 +269,7 @@ def logit_formulas(spark, sf_dir):
     stacked = rows.select("subject_id", "event", F.lit(1.0).alias("one"), F.inline(structs))
     out = models.logit_many(stacked, "model", "event", ["one", "z1", "z2", "z12", "count"])
     # A term that a formula leaves out has coefficient zero.
-    return rounded(out.select("model", "param", "value", "std_error").where(F.col("std_error") < 1000), "value", "std_error")
+    return rounded(out.select("model", "param", "value", "std_error"), "value", "std_error")
 
 
 def top_strata(spark, sf_dir):
@@ -425,7 +425,7 @@ scores AS (
          ln(avg(exp(l))) - var_samp(l) AS elpd_waic FROM ll GROUP BY 1, 2, 3)"""
 
 
-def newton_ctes(counts, keys, x, rounds=14, intercept=True):
+def newton_ctes(counts, keys, x, rounds=16, intercept=True):
     """CTEs ``fit`` (keys, b0, b1, se0, se1): unrolled Newton iterations on ``counts`` (keys, x, n, e)."""
     ks = ", ".join(keys)
     one = "1.0" if intercept else "0.0"
@@ -433,8 +433,8 @@ def newton_ctes(counts, keys, x, rounds=14, intercept=True):
     for t in range(1, rounds + 1):
         parts.append(
             f"""s{t} AS MATERIALIZED (
-  SELECT {ks}, b0, b1, {one} * sum(e - n * p) AS g0, sum({x} * (e - n * p)) AS g1, {one} * sum(n * p * (1 - p)) + 1e-9 AS h00,
-         {one} * sum({x} * n * p * (1 - p)) AS h01, sum({x} * {x} * n * p * (1 - p)) + 1e-9 AS h11
+  SELECT {ks}, b0, b1, {one} * sum(e - n * p) - 1e-3 * b0 AS g0, sum({x} * (e - n * p)) - 1e-3 * b1 AS g1, {one} * sum(n * p * (1 - p)) + 1e-3 AS h00,
+         {one} * sum({x} * n * p * (1 - p)) AS h01, sum({x} * {x} * n * p * (1 - p)) + 1e-3 AS h11
   FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * {x}))) AS p FROM {counts} JOIN it{t - 1} USING ({ks})) GROUP BY {ks}, b0, b1),
 it{t} AS MATERIALIZED (
   SELECT {ks}, b0 + k * d0 AS b0, b1 + k * d1 AS b1, se0, se1 FROM (
@@ -509,7 +509,7 @@ whole AS MATERIALIZED (
   SELECT effect AS model, 0 AS replicate, measure AS x, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (event) AS DOUBLE) AS e
   FROM line_rows GROUP BY 1, 3),
 both_counts AS MATERIALIZED (SELECT model, replicate, x, n, e FROM counts UNION ALL SELECT * FROM whole),
-""" + newton_ctes("both_counts", ["model", "replicate"], "x", 10) + """,
+""" + newton_ctes("both_counts", ["model", "replicate"], "x", 12) + """,
 joined AS (
   SELECT split_part(f.model, '|', 1) AS effect, CAST(split_part(f.model, '|', 2) AS INTEGER) AS sample_size, f.replicate, f.b1, t.b1 AS truth
   FROM fit f JOIN fit t ON t.model = split_part(f.model, '|', 1) WHERE f.model LIKE '%|%'),
@@ -609,7 +609,7 @@ SELECT mode || '|' || measure || '|' || outcome AS model, count(*) AS n, count(*
        CAST(sum(CAST(event AS INTEGER) - 0.5) AS DOUBLE) + 0.0 AS g_one, CAST(sum(low_count * (CAST(event AS INTEGER) - 0.5)) AS DOUBLE) + 0.0 AS g_count,
        CAST(count(*) AS DOUBLE) / 4 AS h_one, CAST(sum(low_count) AS DOUBLE) / 4 AS h_cross, CAST(sum(low_count * low_count) AS DOUBLE) / 4 AS h_count
 FROM counted GROUP BY 1""",
-    "logit_many_no_intercept": _grid_rows().rstrip() + _GRID_COUNTS + ",\n" + newton_ctes("model_counts", ["model"], "x", 14, False)
+    "logit_many_no_intercept": _grid_rows().rstrip() + _GRID_COUNTS + ",\n" + newton_ctes("model_counts", ["model"], "x", intercept=False)
     + " SELECT model, round(b1, 6) + 0.0 AS value, round(se1, 6) AS std_error FROM fit",
     "logit_many": sql_with(
         _MODEL_ROWS + """,

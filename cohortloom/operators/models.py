@@ -20,7 +20,9 @@ from cohortloom.plans.lineage import cut
 
 REPLICATE = "replicate"
 MAX_STEP = 4.0
-RIDGE = 1e-9
+# Weak penalty on every coefficient.  It gives separated data, common among bootstrap
+# replicates, a finite and unique estimate and hardly moves any other.
+RIDGE = 1e-3
 ROUNDS_PER_CUT = 3
 
 
@@ -122,8 +124,8 @@ def logit_fit(
 
     Each round is one aggregation of the counts with the coefficients of the round before, a
     small table that is written to shared storage every few rounds.  A covariate that is zero in all rows
-    of a key keeps coefficient 0, so models with different terms share one call.  The ridge
-    term keeps separated data finite; ``step`` tells how far a key is from convergence.
+    of a key keeps coefficient 0, so models with different terms share one call.  ``ridge``
+    keeps separated data finite; ``step`` tells how far a key is from convergence.
     """
     keys = list(keys)
     counts = cut(counts)  # read once per round

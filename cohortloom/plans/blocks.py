@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
-DEFAULT_BLOCK_DAYS = 64
+DEFAULT_BLOCK_DAYS = 256
 
 
 def as_list(value: str | Sequence[str]) -> list[str]:

@@ -64,6 +64,8 @@ def quantile_arrays(
         if group_bound is None or group_bound > BROADCAST_ROWS:
             # Equal values would all get the same salt, so they are counted before the salted join.
             rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times"))
+            # A sketch that is worked out again after a lost executor may differ; stored edges do not.
+            edges = cut(edges)
         # Null group labels must meet their own bracket, so the key is null-safe text.
         keyed, keys = _null_safe(rows, by)
         edge_rows, _ = _null_safe(edges, by)
