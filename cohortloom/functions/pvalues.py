@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,3 +78,7 @@ def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Serie
         [None if any(pd.isna(x) for x in t) else fisher_two_sided(*(int(x) for x in t)) for t in cells],
         dtype="float64",
     )
+
+
+# Workers get these functions by value, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
