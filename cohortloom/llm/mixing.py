@@ -13,7 +13,7 @@ from cohortloom.plans.lineage import cut
 MOST_COPIES = 3
 NEWTON_ROUNDS = 60
 TOLERANCE = 1e-9
-MEND_ROUNDS = 4
+MEND_ROUNDS = 5
 
 
 def n_words(text: Column) -> Column:
@@ -102,8 +102,8 @@ def class_copies(rates: DataFrame) -> DataFrame:
 
     Along a source's classes by size, copies follow the running sum of the wanted ones, so
     counts are off by less than one and tokens by less than the largest document.  What a
-    source then lacks or has too much is mended with the largest class that fits, a few times;
-    each round leaves less than the size it used.  The window runs over a source's different
+    source then lacks or has too much is mended with the largest class that is no larger, a
+    few times; each round leaves less than the size it used.  The window runs over a source's different
     sizes, not its documents.
     """
     along = Window.partitionBy("_s").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
@@ -113,7 +113,7 @@ def class_copies(rates: DataFrame) -> DataFrame:
     for _ in range(MEND_ROUNDS):
         gap = copies.groupBy("_s").agg((F.first("target") - F.sum(F.col("_k") * F.col("size"))).alias("_gap"))
         room = F.when(F.col("_gap") > 0, F.col("_n") * F.col("_most") - F.col("_k")).otherwise(F.col("_k"))
-        fit = F.least(room, F.floor(F.abs("_gap") / F.col("size") + 0.5))
+        fit = F.least(room, F.floor(F.abs("_gap") / F.col("size")))
         usable = (F.col("size") > 0) & (room > 0) & (fit > 0)
         best = (
             copies.join(gap, "_s").where(usable)
