@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,17 +58,17 @@ def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     are one window.  The minimum of a window is taken from minima of half its size.
     """
 
+    def by_step(step: int) -> Callable[[Column], Column]:
+        return lambda m: F.transform(_upto(F.size(m) - step), lambda i: F.least(F.get(m, i), F.get(m, i + step)))
+
     def minima(marks):
-        halves, width = marks, 1
+        reached, width = marks, 1
         while width < window:
             step = min(width, window - width)
-            halves = _bound(
-                halves,
-                lambda m, step=step: F.transform(_upto(F.size(m) - step), lambda i: F.least(F.get(m, i), F.get(m, i + step))),
-            )
+            reached = _bound(reached, by_step(step))
             width += step
         whole = F.when(F.size(marks) > 0, F.array(F.array_min(marks))).otherwise(marks)
-        return F.when(F.size(marks) > window, F.array_distinct(halves)).otherwise(whole)
+        return F.when(F.size(marks) > window, F.array_distinct(reached)).otherwise(whole)
 
     return _bound(gram_marks(text, gram), minima)
 
@@ -118,10 +119,11 @@ def _blocks(docs: DataFrame, key: Column) -> tuple[Column, int, int, list[int]]:
     return F.when(group == 0, 0).otherwise((group - 1) * size + inside), len(starts) + 1, least, starts
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with ``next_`` copies of ``columns`` from the next row by ``key``; the last row is followed by the first.
 
-    Rows go once into blocks of neighbouring keys.  The first key of a block is sent to the
+    ``made`` are columns to work out, copied too; they are worked out where the rows have arrived,
+    so only ``docs`` is shuffled.  Rows go once into blocks of neighbouring keys.  The first key of a block is sent to the
     block before it too (and the least key to the last block), so each block knows what follows
     it.  Rows that repeat a key follow each other by the hash of ``columns``; null comes first.
     """
@@ -138,11 +140,13 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     rows = docs.withColumns({"_id": place, "_at": block}).withColumns(
         {"_tie": F.xxhash64(*columns), "_home": F.explode(F.filter(homes, lambda h: h.isNotNull()))}
     )
-    along = Window.partitionBy("_home.block").orderBy("_home.late", "_id", "_tie")
+    rows = rows.withColumns({"_block": F.col("_home.block"), "_late": F.col("_home.late")}).drop("_home", "_at").repartition("_block")
+    along = Window.partitionBy("_block").orderBy("_late", "_id", "_tie")
     return (
-        rows.withColumns({f"next_{c}": F.lead(c).over(along) for c in columns})
-        .where(F.col("_home.late") == 0)
-        .drop("_id", "_at", "_tie", "_home")
+        rows.withColumns(made or {})
+        .withColumns({f"next_{c}": F.lead(c).over(along) for c in [*columns, *(made or {})]})
+        .where(F.col("_late") == 0)
+        .drop("_id", "_tie", "_block", "_late")
     )
 
 
@@ -162,7 +166,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     points (rounded down) is replaced by as many first ones of the next text.
     """
     whole = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    paired = with_next(fingerprints(whole), key, ["text", "marks"])
+    paired = with_next(whole, key, ["text"], {"marks": winnowed(F.col("text"))})
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
