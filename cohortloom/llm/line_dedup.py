@@ -95,8 +95,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     """All columns of ``docs`` with ``drop_bits``, ``n_lines`` and ``n_dropped``.
 
     Shared keys (in two or more documents) keep their lines in the smallest ``key`` alone.  A
-    null or empty text is one empty line.  Apply a bitmap with ``kept_text``.
+    null or empty text is one empty line.  Apply a bitmap with ``kept_text``.  Columns of the
+    added names are replaced.
     """
+    docs = docs.drop("drop_bits", "n_lines", "n_dropped", "_d", "_row")
     bits = keep_bitmaps(docs, key, text, least_chars)
     rows = docs.withColumns({"_d": F.coalesce(F.col(key), F.lit(LAST)), "_row": F.xxhash64(text)})
     gone = F.aggregate(F.map_values("drop_bits"), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import line_dedup, mixing, sharding, winnow
+from cohortloom.llm import language, line_dedup, mixing, packing, page_text, sharding, simhash, token_counts, top_k, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,18 +22,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+@query
+def op2_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return grouped.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.read_tokenizer(tokenizer_path("word_bpe_49k.json")))
+
+
 @query
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), weights=(1.0,) * 8, grown=(1.0,) * 9)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    allowed = language.allowed_to_learn("doc_id")
+    found = language.detect(documents, language.learn(documents, allowed), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(~allowed, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
+
+
 @query
 def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,3 +111,10 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnow.as_text(marks).alias("fingerprint"), winnow.as_text(edited).alias("edited_fingerprint"),
         winnow.likeness(marks, edited).alias("near_edited"), winnow.likeness(marks, following).alias("near_next"),
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
