@@ -252,7 +252,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                     got[0] += 1
                     got[1] += a.text == b.text
             keys = list(sums)
-            yield pd.DataFrame({"_host": [h for h, _ in keys], "slot": [s for _, s in keys], "n": [sums[k][0] for k in keys], "same": [sums[k][1] for k in keys]})
+            if keys:
+                yield pd.DataFrame({"_host": [h for h, _ in keys], "slot": [s for _, s in keys], "n": [sums[k][0] for k in keys], "same": [sums[k][1] for k in keys]})
 
     counted = (
         filled.join(pivots, "_host").select("_host", "_pivot", "html")
