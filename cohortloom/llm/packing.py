@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -36,8 +37,8 @@ class WordIds:
     """Token ids of whole texts by way of their words.
 
     The tokenizer composes (NFC), lower-cases and splits at white space before anything else, so a
-    composed text's ids are those of its lower-cased words, joined.  Words repeat, ids are kept as
-    bytes.  Other texts go through the tokenizer whole.
+    composed text's ids are those of its lower-cased words, joined.  Words repeat, so their ids
+    are kept, as bytes.  Other texts go through the tokenizer whole.
     """
 
     def __init__(self, config: str):
@@ -47,7 +48,10 @@ class WordIds:
         bare = json.loads(config)
         bare["normalizer"] = None
         self.bare = Tokenizer.from_str(json.dumps(bare))
-        for t in (self.whole, self.bare):
+        # A run of letters is one unit of the splitting rule, so only its last step is left.
+        bare["pre_tokenizer"] = bare["pre_tokenizer"]["pretokenizers"][-1]
+        self.letters = Tokenizer.from_str(json.dumps(bare))
+        for t in (self.whole, self.bare, self.letters):
             t.encode_special_tokens = True
             t.no_truncation()
             t.no_padding()
@@ -65,9 +69,7 @@ class WordIds:
             else:
                 split.append(text.lower().split())
                 new.update(split[-1])
-        new = list(new.difference(known))
-        for word, found in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = array("I", found.ids).tobytes()
+        self.learn(new.difference(known))
         for words in split:
             if isinstance(words, str):
                 yield array("I", self.whole.encode(words, add_special_tokens=False).ids).tobytes()
@@ -75,6 +77,26 @@ class WordIds:
                 yield b"".join(map(known.__getitem__, words))
 
 
+    def learn(self, new: set[str]) -> None:
+        """Ids of new words; letters and the marks behind them are split from each other by rule."""
+        known, letters, others, marked = self.known, set(), set(), []
+        for word in new:
+            core = word if word.isalpha() else word.rstrip(string.punctuation)
+            if not core.isalpha():
+                others.add(word)
+                continue
+            letters.add(core)
+            if len(core) < len(word):
+                others.add(word[len(core) :])
+                marked.append((word, core))
+        for some, tokenizer in ((letters, self.letters), (others, self.bare)):
+            some = list(some.difference(known))
+            for word, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[word] = array("I", found.ids).tobytes()
+        for word, core in marked:
+            known[word] = known[core] + known[word[len(core) :]]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, key: str, text: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
     """``key``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every row's tokens.
 
