@@ -55,11 +55,13 @@ def ranked(
 
 
 def on_worker(name: str, make):
-    """An object that is made once in a Python worker and lives as long as it does.
+    """An object that is made once in a Python worker and kept until another one is asked for.
 
-    Functions shipped by value get new globals with every task; this does not.
+    Functions shipped by value get new globals with every task; this outlives them.  A worker
+    holds one such object only, as it goes on to other operators and other runs.
     """
     kept = sys.modules.setdefault("_kept_on_worker", types.ModuleType("_kept_on_worker"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    if getattr(kept, "name", None) != name:
+        kept.name = kept.what = None
+        kept.what, kept.name = make(), name
+    return kept.what

@@ -20,7 +20,7 @@ DOCS_PER_LANGUAGE, LONGEST_IN_SAMPLE = 250, 20_000
 PIECES, LEXICON = 1 << 15, 1 << 17
 WIDTH = 24
 SPAN, SEQUENCE, BATCH, STEPS, RATE = 20, 80, 48, 240, 0.08
-WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 500_000, 2_000_000, 512
+WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 300_000, 1_000_000, 512
 SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"})
 
 
@@ -92,6 +92,7 @@ def forward_backward(emit: np.ndarray, moves: np.ndarray, first: np.ndarray, sta
     the words at place t are rows ``starts[t]`` to ``starts[t + 1]``.
     """
     ahead = np.empty_like(emit)
+    starts = starts.tolist()
     steps = len(starts) - 1
     for t in range(steps):
         a, b = starts[t], starts[t + 1]
@@ -238,14 +239,14 @@ def detect(
             order = np.argsort(-size, kind="stable")
             size = size[order]
             at_place = np.searchsorted(-size, -np.arange(size[0]), "left")
-            starts = np.concatenate(([0], np.cumsum(at_place)))
-            place = np.concatenate([np.arange(s) for s in size])
-            rank = np.repeat(np.arange(len(size)), size)
-            to = starts[place] + rank
+            starts = np.concatenate(([0], np.cumsum(at_place))).astype(np.int32)
+            ends = np.cumsum(size)
+            to = starts[np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)]
+            to += np.repeat(np.arange(len(size), dtype=np.int32), size)
             rows = np.empty(len(to), np.int32)
             rows[to] = np.concatenate([coded[i] for i in order])
             found = forward_backward(emit[rows], moves, first, starts)
-            sums = np.add.reduceat(found[to], np.concatenate(([0], np.cumsum(size)[:-1])), axis=0, dtype=np.float64)
+            sums = np.add.reduceat(found[to], ends - size, axis=0, dtype=np.float64)
             means = np.empty((len(size), n))
             means[order] = sums / size[:, None]
             return means

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import BLANKS, on_worker
+from cohortloom.llm.common import on_worker
 
 #: Words whose counts a worker remembers; beyond it starts afresh.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 DOCS_AT_ONCE = 512
 #: Longer words are followed alone rather than in step with others.
 IN_STEP = 64
@@ -66,6 +66,7 @@ class Automaton:
         found = sorted((node << 8 | b, child) for node, out in enumerate(edges) for b, child in out.items())
         self.keys = np.array([k for k, _ in found], np.int64)
         self.child = np.array([c for _, c in found], np.int32)
+        self.edges: dict[int, int] | None = None
         self.fail, self.popped, self.last = (np.array(x, np.int32) for x in (fail, popped, last))
 
     def follow(self, node: np.ndarray, taken: np.ndarray, byte: np.ndarray) -> None:
@@ -99,8 +100,9 @@ class Automaton:
         return result
 
     def alone(self, node: int, taken: int, rest: np.ndarray) -> tuple[int, int]:
-        edges = on_worker("edges_of_trie", lambda: dict(zip(self.keys.tolist(), self.child.tolist(), strict=True)))
-        fail, popped = self.fail, self.popped
+        if self.edges is None:
+            self.edges = dict(zip(self.keys.tolist(), self.child.tolist(), strict=True))
+        edges, fail, popped = self.edges, self.fail, self.popped
         for b in rest.tolist():
             child = edges.get(node << 8 | b)
             while child is None:
@@ -119,7 +121,6 @@ def count_tokens(docs: DataFrame, pieces: Sequence[bytes], key: str = "doc_id",
     """
     automaton = Automaton(pieces)
     mark = zlib.crc32(automaton.keys.tobytes())
-    table = str.maketrans(BLANKS, " " * len(BLANKS))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = on_worker(f"counts_{mark}", dict)
