@@ -232,7 +232,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """
     rows = pages.select(F.col(key).cast("long").alias(key), F.col(url).alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("_host"))
     filled = rows.where(F.col("html").isNotNull())
-    first = filled.groupBy("_host").agg(F.min(key).alias(key))
+    # Stored, so that its size is known before the join with whole pages is planned.
+    first = cut(filled.groupBy("_host").agg(F.min(key).alias(key)))
     pivots = cut(filled.join(first, ["_host", key], "left_semi").groupBy("_host").agg(F.min("html").alias("_pivot")))
 
     def parsed(known: dict[str, Node], pivot: str) -> Node:
