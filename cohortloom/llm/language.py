@@ -20,7 +20,7 @@ DOCS_PER_LANGUAGE, LONGEST_IN_SAMPLE = 250, 20_000
 PIECES, LEXICON = 1 << 15, 1 << 17
 WIDTH = 24
 SPAN, SEQUENCE, BATCH, STEPS, RATE = 20, 80, 48, 240, 0.08
-WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 300_000, 1_000_000, 512
+WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 200_000, 700_000, 512
 SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"})
 
 
