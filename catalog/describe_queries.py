@@ -49,7 +49,7 @@ def frequency_of_recoded_text(spark, sf_dir):
 def same_day_concordance(spark, sf_dir):
     rows = ec.samples(spark, sf_dir)
     cultures = shape.explode_tokens(
-        rows.where("suspected").select("subject_id", "date", "tokens"), "tokens", "organism", max_parts=2, title_case=False
+        rows.where("suspected").select("subject_id", "date", "tokens"), "tokens", "organism", title_case=False
     )
     dominant = ec.with_missing(ec.cohort(spark, sf_dir)).select("subject_id", "date", "dominant_taxon")
     out = describe.same_day_concordance(cultures, dominant, ["subject_id", "date"], "organism", "dominant_taxon")
@@ -102,9 +102,9 @@ def _subjects(spark, sf_dir):
 
 def baseline_table(spark, sf_dir):
     out = describe.baseline_table(
-        _subjects(spark, sf_dir), "arm", ["high", "low"], ["c_acctbal", "n_orders", "spent"], ["c_mktsegment"], ["in_debt", "urgent"]
+        _subjects(spark, sf_dir), "arm", ["high", "low"], ["c_acctbal", "n_orders", "spent"], ["c_mktsegment"], ["in_debt", "urgent"], add_p=True
     )
-    return rounded(out, "percent", "median", "q1", "q3")
+    return rounded(out, "percent", "median", "q1", "q3", "p")
 
 
 def _rank_input(spark, sf_dir):
@@ -275,6 +275,20 @@ def _baseline_sql():
     return _SUBJECTS + "\n" + " UNION ALL ".join(parts)
 
 
+def _baseline_with_p():
+    levels = _CHI.replace("SELECT 'nation', CAST(c_nationkey AS VARCHAR), arm", "SELECT 'c_mktsegment', c_mktsegment, arm")
+    ranks = _rank_test_sql()
+    return f"""
+SELECT b.*, test, p FROM ({_baseline_sql()}) b JOIN (
+  SELECT variable, 'rank_sum' AS test, p FROM ({ranks}) UNION ALL SELECT variable, test, p FROM ({_contingency_sql(levels)})) t USING (variable)"""
+
+
+def _rank_test_sql():
+    z = "(u - n1 * n2 / 2.0 - sign(u - n1 * n2 / 2.0) * 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - tied / (n * (n - 1))))"
+    full = _rank_sql(_RANK_LONG, "long_rows", "arm", "high", "low", True).replace(" AS z FROM stats", f" AS z, {z} AS z_full FROM stats")
+    return f"SELECT variable, n1, n2, u, z, round({normal_p('z_full')}, 6) + 0.0 AS p FROM ({full})"
+
+
 def _rank_sql(prefix, source, group, first, second, continuity):
     shift = "sign(u - n1 * n2 / 2.0) * 0.5" if continuity else "0.0"
     return f"""{prefix},
@@ -290,6 +304,29 @@ SELECT variable, n1, n2, round(u, 6) AS u,
        round((u - n1 * n2 / 2.0 - {shift}) / sqrt(n1 * n2 / 12.0 * ((n + 1) - tied / (n * (n - 1)))), 6) AS z FROM stats"""
 
 
+def normal_p(z):
+    """Two-sided normal p-value: one minus the error function, from its series of positive terms."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    terms = f"exp(2 * i * ln(2.0) + (2 * i + 1) * ln({x}) - {x} * {x} - lgamma(2.0 * i + 2) + lgamma(i + 1.0))"
+    return f"CASE WHEN {z} = 0 THEN 1.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum([{terms} FOR i IN range(0, 4000)])) END"
+
+
+def chi_square_p(x, df):
+    """Upper tail of chi-square: one minus the series of the lower incomplete gamma function."""
+    a, y = f"({df} / 2.0)", f"({x} / 2.0)"
+    terms = f"exp(({a} + i) * ln({y}) - {y} - lgamma({a} + i + 1))"
+    return f"CASE WHEN {x} <= 0 OR {df} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum([{terms} FOR i IN range(0, 4000)])) END"
+
+
+def fisher_p(a, b, c, d):
+    """Fisher's exact test: total probability of the tables with these margins that are no likelier."""
+    pick = lambda n, k: f"(lgamma(CAST({n} AS DOUBLE) + 1) - lgamma(CAST({k} AS DOUBLE) + 1) - lgamma(CAST({n} AS DOUBLE) - ({k}) + 1))"
+    prob = lambda k: f"exp({pick(f'({a} + {b})', k)} + {pick(f'({c} + {d})', f'({a} + {c} - {k})')} - {pick(f'({a} + {b} + {c} + {d})', f'({a} + {c})')})"
+    low, high = f"greatest(0, {a} - {d})", f"least({a} + {b}, {a} + {c})"
+    listed = f"[{prob('k')} FOR k IN range(CAST({low} AS BIGINT), CAST({high} AS BIGINT) + 1)]"
+    return f"least(1.0, list_sum([p FOR p IN {listed} IF p <= {prob(a)} * (1 + 1e-7)]))"
+
+
 _RANK_LONG = _SUBJECTS + ", long_rows AS (" + " UNION ALL ".join(
     f"SELECT arm, '{v}' AS variable, CAST({v} AS DOUBLE) AS value FROM subj" for v in ("c_acctbal", "n_orders", "spent")
 ) + ")"
@@ -326,6 +363,17 @@ _STRATA = f"""
 SELECT *, coalesce((estimate > 0 AND lower > 0 AND upper > 0) OR (estimate < 0 AND lower < 0 AND upper < 0), false) AS same_sign
 FROM (SELECT dominant_taxon, n, {_BOUNDS} FROM strata WHERE n > 5)"""
 
+def _contingency_sql(statistics=_CHI):
+    raw = (_SUBJECTS + statistics).replace("round(sum((o - e) * (o - e) / e), 6) AS chi_square", "sum((o - e) * (o - e) / e) AS chi_square").replace(
+        "round(min(e), 6) AS min_expected", "min(e) AS min_expected")
+    small, two = "min_expected < 5", "a IS NOT NULL"
+    return f"""
+SELECT variable, n, df, round(chi_square, 6) AS chi_square, round(min_expected, 6) AS min_expected, a, b, c, d,
+       CASE WHEN {small} AND {two} THEN 'fisher' WHEN {small} THEN 'chi_square_small_expected' ELSE 'chi_square' END AS test,
+       round(CASE WHEN {small} AND {two} THEN {fisher_p("a", "b", "c", "d")} ELSE {chi_square_p("chi_square", "df")} END, 6) + 0.0 AS p
+FROM ({raw})"""
+
+
 ORACLE = {
     "first_event_rollup": sql_with(_ROLLUP, "SELECT * FROM rollup_rows"),
     "definition_prevalence": sql_with(_DEFINITIONS, "SELECT definition, occurred, count(*) AS subjects FROM definitions GROUP BY 1, 2"),
@@ -343,7 +391,7 @@ SELECT CASE WHEN o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%HIGH%
        count(*) AS orders FROM orders GROUP BY 1""",
     "same_day_concordance": sql_with(
         """
-grown AS (SELECT subject_id, date, unnest(string_split(tokens, ' ')[1:2]) AS organism FROM samples WHERE suspected)""",
+grown AS (SELECT subject_id, date, unnest(string_split(tokens, ' ')) AS organism FROM samples WHERE suspected)""",
         """
 SELECT g.subject_id, strftime(g.date, '%Y-%m-%d') AS date, bool_or(organism = dominant_taxon) AS any_match
 FROM grown g JOIN gappy d ON g.subject_id = d.subject_id AND g.date = d.date WHERE dominant_taxon IS NOT NULL GROUP BY g.subject_id, g.date""",
@@ -358,14 +406,16 @@ FROM grown g JOIN gappy d ON g.subject_id = d.subject_id AND g.date = d.date WHE
         "SELECT" + _box("periods", ["measure", "period"], "value").split("SELECT", 2)[2],
     ),
     "box_summary_line_items": "WITH " + _box("lineitem", ["l_returnflag"], "l_extendedprice").strip(),
-    "baseline_table": _baseline_sql(),
+    "baseline_table": _baseline_with_p(),
     "rank_sum_statistics": _rank_sql(_RANK_LONG, "long_rows", "arm", "high", "low", True),
     "rank_sum_line_items": _rank_sql(
         "WITH long_rows AS (SELECT l_linestatus, 'l_quantity' AS variable, l_quantity AS value FROM lineitem"
         " UNION ALL SELECT l_linestatus, 'l_extendedprice', l_extendedprice FROM lineitem)",
         "long_rows", "l_linestatus", "F", "O", False,
     ),
+    "rank_sum_test": _rank_test_sql(),
     "contingency_statistics": _SUBJECTS + _CHI,
+    "contingency_test": _contingency_sql(),
     "correlate": sql_with(
         _KEPT + ",\npairs AS ("
         + " UNION ALL ".join(

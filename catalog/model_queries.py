@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import r6, rounded, sql, sql_with
 from catalog.persist_queries import ORACLE as PERSIST_ORACLE
-from catalog.persist_queries import grid_rows
+from catalog.persist_queries import counted_ctes, grid_rows
 from cohortloom.functions import fixed_values as fixed
 from cohortloom.functions.scalars import poisson_one_cuts
 from cohortloom.operators import define, draws as dr, models, persist, shape
@@ -91,15 +91,16 @@ def binned_density(spark, sf_dir):
     return rounded(dr.binned_density(_order_draws(spark, sf_dir), ["param"], "value", -1.0, 0.125), "density")
 
 
+def _kept_rows(gappy):
+    """Rows up to the first event under each definition, keyed by model."""
+    entries = [F.struct(F.lit(name).alias("model"), F.col(flag).alias("event"), F.col(first).alias("_first")) for name, (flag, first, _) in ec.OUTCOMES.items()]
+    long = gappy.select(*DAY, "date", "shannon", "log_abundance", F.inline(F.array(*entries)))
+    return shape.censor_at_first(long, "subject_id", "date", "_first").drop("_first", "date")
+
+
 def _model_rows(gappy):
     """Standardised exposure and outcome per definition: censored, scaled, complete."""
-    rows = None
-    for name, (flag, first, _) in ec.OUTCOMES.items():
-        kept = shape.censor_at_first(gappy, "subject_id", "date", first)
-        scaled = shape.zscore(kept.select(*DAY, "shannon", "log_abundance", F.col(flag).alias("event")), ["shannon", "log_abundance"])
-        part = scaled.dropna().withColumn("model", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return shape.zscore(_kept_rows(gappy), ["shannon", "log_abundance"], by="model", levels=len(MODELS)).dropna()
 
 
 def _stored_rows(spark, sf_dir):
@@ -107,12 +108,7 @@ def _stored_rows(spark, sf_dir):
 
 
 def _scales(gappy):
-    rows = None
-    for name, (_, first, _) in ec.OUTCOMES.items():
-        kept = shape.censor_at_first(gappy, "subject_id", "date", first)
-        part = kept.agg(F.avg("shannon").alias("mean"), F.stddev_samp("shannon").alias("sd")).withColumn("model", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return _kept_rows(gappy).groupBy("model").agg(F.avg("shannon").alias("mean"), F.stddev_samp("shannon").alias("sd"))
 
 
 def _coefficient_draws(rows):
@@ -148,10 +144,11 @@ def _fitted(spark, sf_dir, rows, n=20, draws=25, grid=None):
     # Subject effects come from the account balance, scaled by the draw.
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     base = customer.select(F.col("c_custkey").alias("subject_id"), (F.col("c_acctbal") / 20000).alias("_base"))
-    effects = base.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_DRAWS - 1).cast("long"))))
-    effects = dr.choose_draws(effects, "draw", N_DRAWS, draws, 16).select(
-        "subject_id", "draw", (F.col("_base") * (1 + F.col("draw") % 3)).alias("effect")
-    )
+    picked = dr.choose_draws(spark.range(N_DRAWS).withColumnRenamed("id", "draw"), "draw", N_DRAWS, draws, 16)
+    # The chosen draws, a setting, meet every subject as one array.
+    effects = base.withColumn("_draws", picked.agg(F.collect_list("draw")).scalar()).select(
+        "subject_id", F.explode("_draws").alias("draw"), "_base"
+    ).select("subject_id", "draw", (F.col("_base") * (1 + F.col("draw") % 3)).alias("effect"))
     return dr.fitted_draws(
         grid, _chosen(rows, draws), "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3, effects, ["subject_id"]
     )
@@ -236,25 +233,69 @@ def logit_newton_step(spark, sf_dir):
 def logit_many_no_intercept(spark, sf_dir):
     """y ~ count without intercept, for all 27 persistence sets at once."""
     out = models.logit_many(_count_models(spark, sf_dir), "model", "event", ["low_count"])
-    return rounded(out.select("model", "value", "std_error"), "value", "std_error")
+    return rounded(out.select("model", "value", "std_error", "converged"), "value", "std_error")
 
 
 def logit_many(spark, sf_dir):
     """y ~ 1 + standardised exposure, for three outcome definitions at once."""
     rows = _model_rows(_gappy(spark, sf_dir)).withColumn("one", F.lit(1.0))
     out = models.logit_many(rows, "model", "event", ["one", "shannon_scaled"])
-    return rounded(out.select("model", "param", "value", "std_error"), "value", "std_error")
+    return rounded(out.select("model", "param", "value", "std_error", "converged"), "value", "std_error")
+
+
+REPLICATES = 200
+
+
+def _bootstrap(spark, sf_dir):
+    return models.logit_many(_count_models(spark, sf_dir), "model", "event", ["one", "low_count"], "subject_id", REPLICATES, 16)
 
 
 def logit_bootstrap(spark, sf_dir):
-    """Cluster-bootstrap draws of y ~ 1 + count for the observed sets."""
-    rows = _count_models(spark, sf_dir).where("mode = 'none' AND measure = 'shannon'")
-    out = models.logit_many(rows, "model", "event", ["one", "low_count"], "subject_id", 8, 16)
-    return rounded(out.select("model", F.col("replicate").cast("long").alias("replicate"), "param", "value"), "value")
+    """Cluster-bootstrap draws of y ~ 1 + count for all 27 sets."""
+    out = _bootstrap(spark, sf_dir)
+    return rounded(out.select("model", F.col("replicate").cast("long").alias("replicate"), "param", "value", "converged"), "value")
 
 
-def logit_formulas(spark, sf_dir):
-    """Five formulas on the same rows: z1; z2; z1 + z2; z1 * z2; count."""
+def bootstrap_summary(spark, sf_dir):
+    """From event log to estimates: impute, censor, count, fit with replicates, summarise the draws per set."""
+    drawn = cut(_bootstrap(spark, sf_dir).where(F.col("replicate") > 0))
+    out = dr.draws_summary(drawn, ["model", "param"], draws_bound=REPLICATES)
+    return rounded(out.select("model", "param", "estimate", "est_error", "q2_5", "q97_5"), "estimate", "est_error", "q2_5", "q97_5")
+
+
+def bootstrap_pooled_intervals(spark, sf_dir):
+    """Intervals of the slope per mode and measure, pooled over outcomes."""
+    drawn = _bootstrap(spark, sf_dir).where((F.col("replicate") > 0) & (F.col("param") == "low_count"))
+    parts = F.split("model", r"\|")
+    pooled = cut(drawn.select(parts[0].alias("mode"), parts[1].alias("measure"), "value"))
+    out = dr.median_qi(pooled, ["mode", "measure"], "value", fixed.INTERVAL_WIDTHS, draws_bound=len(MODELS) * REPLICATES)
+    return rounded(out, "width", "median", "lower", "upper")
+
+
+FITS = 20
+
+
+def ribbon_of_fit(spark, sf_dir):
+    """Scale, fit with replicates, predict over a grid for every subject, summarise along it."""
+    gappy = _gappy(spark, sf_dir)
+    rows = cut(_model_rows(gappy))
+    long = models.logit_many(rows.withColumn("one", F.lit(1.0)), "model", "event", ["one", "shannon_scaled"], "subject_id", FITS, 16)
+    wide = cut(
+        long.where(F.col("replicate") > 0).groupBy("model", F.col("replicate").cast("long").alias("draw"))
+        .agg(*[F.max(F.when(F.col("param") == x, F.col("value"))).alias(b) for b, x in (("b_0", "one"), ("b_1", "shannon_scaled"))])
+    )
+    grid = dr.packed_grid(rows, "shannon_scaled", "subject_id", "model", 3, 10)
+    fitted = dr.fitted_draws(grid, wide, "model", "draw", "b_0", {"b_1": "shannon_scaled"}, 3, draws_bound=FITS)
+    out = dr.ribbon(fitted, _scales(gappy), ["model"], 3, ["model", "point"], "shannon_scaled", group_bound=30)
+    out = out.select("model", F.col("point").cast("long").alias("point"), "shannon_scaled_raw", "width", "median", "lower", "upper")
+    return rounded(out, "shannon_scaled_raw", "median", "lower", "upper")
+
+
+TERMS = ["one", "z1", "z2", "z12", "count"]
+
+
+def _formula_rows(spark, sf_dir):
+    """Observations stacked once per formula; a term that a formula leaves out is zero: z1; z2; z1 + z2; z1 * z2; count."""
     rows = shape.censor_at_first(_gappy(spark, sf_dir), "subject_id", "date", "first_confirmed")
     rows = shape.zscore(rows.select(*DAY, "shannon", "log_abundance", F.col("confirmed").alias("event")), ["shannon", "log_abundance"]).dropna()
     rows = define.dichotomise(rows, "shannon", "<", 0.6, "low")
@@ -264,12 +305,28 @@ def logit_formulas(spark, sf_dir):
         ("diversity", z1, zero, zero, zero), ("abundance", zero, z2, zero, zero), ("both", z1, z2, zero, zero),
         ("interaction", z1, z2, z1 * z2, zero), ("count", zero, zero, zero, F.col("low_count").cast("double")),
     ]
-    names = ["model", "z1", "z2", "z12", "count"]
+    names = ["model", *TERMS[1:]]
     structs = F.array(*[F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in zip(names, e)]) for e in entries])
-    stacked = rows.select("subject_id", "event", F.lit(1.0).alias("one"), F.inline(structs))
-    out = models.logit_many(stacked, "model", "event", ["one", "z1", "z2", "z12", "count"])
-    # A term that a formula leaves out has coefficient zero.
-    return rounded(out.select("model", "param", "value", "std_error"), "value", "std_error")
+    return rows.select(*DAY, "event", F.lit(1.0).alias("one"), F.inline(structs))
+
+
+def logit_formulas(spark, sf_dir):
+    """Five formulas on the same rows."""
+    out = models.logit_many(_formula_rows(spark, sf_dir), "model", "event", TERMS)
+    return rounded(out.select("model", "param", "value", "std_error", "converged"), "value", "std_error")
+
+
+def compare_formulas(spark, sf_dir):
+    """Fit five formulas with replicates and compare them on the observations they share."""
+    rows = cut(_formula_rows(spark, sf_dir))
+    long = models.logit_many(rows, "model", "event", TERMS, "subject_id", FITS, 16)
+    wide = cut(
+        long.where(F.col("replicate") > 0).groupBy("model", F.col("replicate").cast("long").alias("draw"))
+        .agg(*[F.max(F.when(F.col("param") == x, F.col("value"))).alias(f"b_{x}") for x in TERMS])
+    )
+    arrays = dr.pointwise_loglik(rows, wide, "model", "draw", "b_one", {f"b_{x}": x for x in TERMS[1:]}, "event", 5, FITS)
+    out = dr.compare_models(dr.pointwise_scores(arrays.select("model", *DAY, "loglik")), "model", DAY)
+    return rounded(out, *[c for c in out.columns if c not in ("model", "observations")])
 
 
 def top_strata(spark, sf_dir):
@@ -288,9 +345,19 @@ def taxon_labels(spark, sf_dir):
 
 
 def stratum_slopes(spark, sf_dir):
+    """The four most frequent strata."""
+    return _stratum_slopes(spark, sf_dir, k=4)
+
+
+def stratum_slopes_default(spark, sf_dir):
+    """All strata, as the default holds more than there are."""
+    return _stratum_slopes(spark, sf_dir)
+
+
+def _stratum_slopes(spark, sf_dir, **options):
     rows = shape.censor_at_first(ec.cohort(spark, sf_dir), "subject_id", "date", "first_suspected")
     rows = shape.zscore(rows.select(*DAY, "max_read_prop", "dominant_taxon", F.col("suspected").alias("event")), ["max_read_prop"])
-    out = models.stratum_slopes(rows, "dominant_taxon", "max_read_prop_scaled", "event", 4, _taxon_labels(spark, sf_dir))
+    out = models.stratum_slopes(rows, "dominant_taxon", "max_read_prop_scaled", "event", labels=_taxon_labels(spark, sf_dir), **options)
     return rounded(out, "slope", "std_error", "pooled", "shrunk")
 
 
@@ -349,9 +416,14 @@ QUERIES = {
     "logit_many": logit_many,
     "logit_bootstrap": logit_bootstrap,
     "logit_formulas": logit_formulas,
+    "bootstrap_summary": bootstrap_summary,
+    "bootstrap_pooled_intervals": bootstrap_pooled_intervals,
+    "ribbon_of_fit": ribbon_of_fit,
+    "compare_formulas": compare_formulas,
     "top_strata": top_strata,
     "taxon_labels": taxon_labels,
     "stratum_slopes": stratum_slopes,
+    "stratum_slopes_default": stratum_slopes_default,
     "sample_by_size": sample_by_size,
     "sample_size_sweep": sample_size_sweep,
     "detection_share": detection_share,
@@ -425,6 +497,37 @@ scores AS (
          ln(avg(exp(l))) - var_samp(l) AS elpd_waic FROM ll GROUP BY 1, 2, 3)"""
 
 
+def newton_many(counts, keys, xs, rounds=14):
+    """CTEs ``fit`` (keys, b0.., se0..): Newton on ``counts`` (keys, xs, n, e); the systems are solved by their LDL' factors."""
+    ks, m = ", ".join(keys), len(xs)
+    eta = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+    betas = ", ".join(f"b{i}" for i in range(m))
+    sums = [f"sum({xs[i]} * (e - n * p)) - 1e-3 * b{i} AS g{i}" for i in range(m)]
+    sums += [f"sum({xs[i]} * {xs[j]} * n * p * (1 - p)){' + 1e-3' if i == j else ''} AS h{i}_{j}" for i in range(m) for j in range(i + 1)]
+    steps = []
+    for j in range(m):
+        steps.append([f"h{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f" AS d{j}"])
+        lower = [f"(h{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f") / d{j} AS l{i}_{j}" for i in range(j + 1, m)]
+        steps += [lower] if lower else []
+    steps += [[f"g{i}" + "".join(f" - l{i}_{k} * y{k}" for k in range(i)) + f" AS y{i}"] for i in range(m)]
+    steps += [[f"y{i} / d{i}" + "".join(f" - l{k}_{i} * s{k}" for k in range(i + 1, m)) + f" AS s{i}"] for i in reversed(range(m))]
+    # Inverse of the unit lower factor, for the diagonal of the inverse.
+    for i in range(m):
+        for j in reversed(range(i)):
+            steps.append([f"-(l{i}_{j}" + "".join(f" + l{i}_{k} * v{k}_{j}" for k in range(j + 1, i)) + f") AS v{i}_{j}"])
+    steps.append([f"sqrt(1 / d{i}" + "".join(f" + v{k}_{i} * v{k}_{i} / d{k}" for k in range(i + 1, m)) + f") AS se{i}" for i in range(m)])
+    steps.append(["least(1.0, 4.0 / greatest(" + ", ".join(f"abs(s{i})" for i in range(m)) + ", 1e-300)) AS scale"])
+    parts = [f"it0 AS (SELECT DISTINCT {ks}, " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(m)) + f" FROM {counts})"]
+    for t in range(1, rounds + 1):
+        body = f"SELECT {ks}, {betas}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM {counts} JOIN it{t - 1} USING ({ks})) GROUP BY {ks}, {betas}"
+        for step in steps:
+            body = f"SELECT *, {', '.join(step)} FROM ({body})"
+        found = ", ".join([f"b{i} + scale * s{i} AS b{i}" for i in range(m)] + [f"se{i}" for i in range(m)])
+        parts.append(f"it{t} AS MATERIALIZED (SELECT {ks}, {found} FROM ({body}))")
+    parts.append(f"fit AS (SELECT * FROM it{rounds})")
+    return ",\n".join(parts)
+
+
 def newton_ctes(counts, keys, x, rounds=16, intercept=True):
     """CTEs ``fit`` (keys, b0, b1, se0, se1): unrolled Newton iterations on ``counts`` (keys, x, n, e)."""
     ks = ", ".join(keys)
@@ -466,15 +569,38 @@ def _poisson(u):
 _BOOT = f""",
 per_subject AS (
   SELECT mode || '|' || measure || '|' || outcome AS model, subject_id, CAST(low_count AS DOUBLE) AS x, count(*) AS n,
-         count(*) FILTER (event) AS e FROM counted WHERE mode = 'none' AND measure = 'shannon' GROUP BY 1, 2, 3),
+         count(*) FILTER (event) AS e FROM counted GROUP BY 1, 2, 3),
 weights AS (
   SELECT range AS replicate, subject_id, CASE WHEN range = 0 THEN 1 ELSE {_poisson("u")} END AS w
-  FROM (SELECT range, subject_id, {_unit(16, "range", "subject_id")} AS u FROM (SELECT DISTINCT subject_id FROM per_subject), range(9))),
+  FROM (SELECT range, subject_id, {_unit(16, "range", "subject_id")} AS u FROM (SELECT DISTINCT subject_id FROM per_subject), range({REPLICATES + 1}))),
 boot AS MATERIALIZED (
   SELECT model, replicate, x, CAST(sum(n * w) AS DOUBLE) AS n, CAST(sum(e * w) AS DOUBLE) AS e
   FROM per_subject JOIN weights USING (subject_id) WHERE w > 0 GROUP BY 1, 2, 3),
 """
 
+_BOOT_FIT = _grid_rows().rstrip() + _BOOT + newton_ctes("boot", ["model", "replicate"], "x", 24)
+# Counts of the rows with each replicate's weights of their subjects.
+_REPLICATED = f""",
+weights AS (
+  SELECT range AS replicate, subject_id, CASE WHEN range = 0 THEN 1 ELSE {_poisson("u")} END AS w
+  FROM (SELECT range, subject_id, {_unit(16, "range", "subject_id")} AS u FROM (SELECT DISTINCT subject_id FROM {{rows}}), range({{fits}} + 1))),
+counts AS MATERIALIZED (
+  SELECT model, replicate, {{xs}}, sum(w)::DOUBLE AS n, coalesce((sum(w) FILTER (event))::DOUBLE, 0.0) AS e
+  FROM {{rows}} JOIN weights USING (subject_id) WHERE w > 0 GROUP BY {{by}}),
+"""
+_FORMULAS = """
+kept AS (SELECT * FROM gappy WHERE date <= coalesce(first_confirmed, DATE '9999-01-01')),
+z AS (SELECT * FROM (
+  SELECT subject_id, subject_day, shannon, confirmed AS event, (shannon - avg(shannon) OVER ()) / stddev_samp(shannon) OVER () AS z1,
+         (log_abundance - avg(log_abundance) OVER ()) / stddev_samp(log_abundance) OVER () AS z2, log_abundance FROM kept)
+  WHERE shannon IS NOT NULL AND log_abundance IS NOT NULL),
+base AS (SELECT *, shannon < 0.6 AS f FROM z),""" + counted_ctes("base") + """,
+stacked AS (
+  SELECT c.subject_id, c.subject_day, c.event, t.model, 1.0::DOUBLE AS one, CASE WHEN t.model IN ('diversity', 'both', 'interaction') THEN z1 ELSE 0.0 END AS z1,
+         CASE WHEN t.model IN ('abundance', 'both', 'interaction') THEN z2 ELSE 0.0 END AS z2, CASE WHEN t.model = 'interaction' THEN z1 * z2 ELSE 0.0 END AS z12,
+         CASE WHEN t.model = 'count' THEN CAST(low_count AS DOUBLE) ELSE 0.0 END AS "count"
+  FROM counted c, (VALUES ('diversity'), ('abundance'), ('both'), ('interaction'), ('count')) AS t(model))"""
+
 _STRATA_SQL = """
 kept AS (SELECT * FROM cohort WHERE date <= coalesce(first_suspected, DATE '9999-01-01')),
 z AS (SELECT dominant_taxon, suspected, (max_read_prop - avg(max_read_prop) OVER ()) / stddev_samp(max_read_prop) OVER () AS z FROM kept),
@@ -521,6 +647,33 @@ sweep AS (
 """
 
 
+_COMPARED = """,
+sums AS (
+  SELECT model, count(*) AS observations, sum(elpd_waic) AS elpd_waic, sum(p_waic) AS p_waic, -2 * sum(elpd_waic) AS waic,
+         sum(elpd_loo) AS elpd_loo, sum(lpd - elpd_loo) AS p_loo, sqrt(count(*) * var_samp(elpd_loo)) AS se FROM scores GROUP BY 1),
+best AS (SELECT model FROM sums ORDER BY elpd_loo DESC, model LIMIT 1),
+differences AS (
+  SELECT s.model, sum(s.elpd_loo - b.elpd_loo) AS elpd_diff, sqrt(count(*) * var_samp(s.elpd_loo - b.elpd_loo)) AS se_diff
+  FROM scores s JOIN scores b USING (subject_id, subject_day) WHERE b.model = (SELECT model FROM best) GROUP BY 1)"""
+_COMPARISON = "SELECT model, observations, " + ", ".join(
+    f"round({c}, 6) + 0.0 AS {c}" for c in ("elpd_waic", "p_waic", "waic", "elpd_loo", "p_loo", "se", "elpd_diff", "se_diff")
+) + " FROM sums JOIN differences USING (model)"
+
+def _slopes_sql(k):
+    return sql_with(
+        _STRATA_SQL.replace("LIMIT 4", f"LIMIT {k}") + newton_ctes("counts", ["dominant_taxon"], "x") + """,
+sizes AS (SELECT dominant_taxon, CAST(sum(n) AS BIGINT) AS n, CAST(sum(e) AS BIGINT) AS events FROM counts GROUP BY 1),
+pooled AS (SELECT sum(b1 / se1 ** 2) / sum(1 / se1 ** 2) AS mean, sum(1 / se1 ** 2) AS w, sum(1 / se1 ** 4) AS w2, count(*) AS k FROM fit),
+tau AS (SELECT any_value(mean) AS mean, greatest((sum((b1 - mean) ** 2 / se1 ** 2) - (any_value(k) - 1)) / any_value(w - w2 / w), 0.0) AS tau2 FROM fit, pooled)""",
+        """
+SELECT f.dominant_taxon, n, events, round(b1, 6) AS slope, round(se1, 6) AS std_error, round(mean, 6) AS pooled,
+       round((tau2 * b1 + se1 ** 2 * mean) / (tau2 + se1 ** 2), 6) AS shrunk, true AS converged,
+       CASE WHEN f.dominant_taxon IN ('click', 'view') THEN 'browsing' ELSE f.dominant_taxon END AS kind,
+       CASE WHEN f.dominant_taxon IN ('click', 'view') THEN 'browsing' ELSE f.dominant_taxon END || ' (' || f.dominant_taxon || ')' AS label
+FROM fit f JOIN sizes USING (dominant_taxon), tau""",
+    )
+
+
 ORACLE = {
     "draws_summary": SQL_ORDER_DRAWS + f"""
 SELECT model, param, {", ".join(f"round({c}, 6) + 0.0 AS {c}, round(exp({c}), 6) AS {c}_or" for c in dr.SUMMARY)} FROM ({_DRAWS_SUMMARY})""",
@@ -580,18 +733,8 @@ SELECT model, posterior, round(median(value), 6) + 0.0 AS estimate, CAST(0.95 AS
         "SELECT model, subject_id, subject_day, round(lpd, 6) AS lpd, round(p_waic, 6) AS p_waic, round(elpd_loo, 6) AS elpd_loo, round(elpd_waic, 6) AS elpd_waic FROM scores",
     ),
     "compare_models": sql_with(
-        _SCORES + """,
-sums AS (
-  SELECT model, count(*) AS observations, sum(elpd_waic) AS elpd_waic, sum(p_waic) AS p_waic, -2 * sum(elpd_waic) AS waic,
-         sum(elpd_loo) AS elpd_loo, sum(lpd - elpd_loo) AS p_loo, sqrt(count(*) * var_samp(elpd_loo)) AS se FROM scores GROUP BY 1),
-best AS (SELECT model FROM sums ORDER BY elpd_loo DESC, model LIMIT 1),
-differences AS (
-  SELECT s.model, sum(s.elpd_loo - b.elpd_loo) AS elpd_diff, sqrt(count(*) * var_samp(s.elpd_loo - b.elpd_loo)) AS se_diff
-  FROM scores s JOIN scores b USING (subject_id, subject_day) WHERE b.model = (SELECT model FROM best) GROUP BY 1)""",
-        """
-SELECT model, observations, """
-        + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("elpd_waic", "p_waic", "waic", "elpd_loo", "p_loo", "se", "elpd_diff", "se_diff"))
-        + " FROM sums JOIN differences USING (model)",
+        _SCORES + _COMPARED,
+        _COMPARISON,
     ),
     "predictive_check": sql_with(
         _CHECKED,
@@ -610,42 +753,70 @@ SELECT mode || '|' || measure || '|' || outcome AS model, count(*) AS n, count(*
        CAST(count(*) AS DOUBLE) / 4 AS h_one, CAST(sum(low_count) AS DOUBLE) / 4 AS h_cross, CAST(sum(low_count * low_count) AS DOUBLE) / 4 AS h_count
 FROM counted GROUP BY 1""",
     "logit_many_no_intercept": _grid_rows().rstrip() + _GRID_COUNTS + ",\n" + newton_ctes("model_counts", ["model"], "x", intercept=False)
-    + " SELECT model, round(b1, 6) + 0.0 AS value, round(se1, 6) AS std_error FROM fit",
+    + " SELECT model, round(b1, 6) + 0.0 AS value, round(se1, 6) AS std_error, true AS converged FROM fit",
     "logit_many": sql_with(
         _MODEL_ROWS + """,
 counts AS MATERIALIZED (SELECT model, shannon_scaled AS x, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (event) AS DOUBLE) AS e FROM model_rows GROUP BY 1, 2),
 """ + newton_ctes("counts", ["model"], "x"),
         """
-SELECT model, 'one' AS param, round(b0, 6) + 0.0 AS value, round(se0, 6) AS std_error FROM fit
-UNION ALL SELECT model, 'shannon_scaled', round(b1, 6) + 0.0, round(se1, 6) FROM fit""",
+SELECT model, 'one' AS param, round(b0, 6) + 0.0 AS value, round(se0, 6) AS std_error, true AS converged FROM fit
+UNION ALL SELECT model, 'shannon_scaled', round(b1, 6) + 0.0, round(se1, 6), true FROM fit""",
+    ),
+    "logit_bootstrap": _BOOT_FIT + """
+SELECT model, replicate, 'one' AS param, round(b0, 6) + 0.0 AS value, true AS converged FROM fit
+UNION ALL SELECT model, replicate, 'low_count', round(b1, 6) + 0.0, true FROM fit""",
+    "bootstrap_summary": _BOOT_FIT + """,
+drawn AS (SELECT model, 'one' AS param, b0 AS value FROM fit WHERE replicate > 0 UNION ALL SELECT model, 'low_count', b1 FROM fit WHERE replicate > 0)
+SELECT model, param, round(avg(value), 6) + 0.0 AS estimate, round(stddev_samp(value), 6) AS est_error,
+       round(quantile_cont(value, 0.025), 6) + 0.0 AS q2_5, round(quantile_cont(value, 0.975), 6) + 0.0 AS q97_5 FROM drawn GROUP BY 1, 2""",
+    "bootstrap_pooled_intervals": _BOOT_FIT + """,
+pooled AS (SELECT split_part(model, '|', 1) AS mode, split_part(model, '|', 2) AS measure, b1 AS value FROM fit WHERE replicate > 0)
+""" + _qi("pooled", "mode, measure", "value", fixed.INTERVAL_WIDTHS),
+    "ribbon_of_fit": sql_with(
+        _MODEL_ROWS + _REPLICATED.format(rows="model_rows", xs="shannon_scaled AS x", by="1, 2, 3", fits=FITS) + newton_ctes("counts", ["model", "replicate"], "x")
+        + _GRID.format(n=10) + """,
+fitted AS (SELECT g.*, 1 / (1 + exp(-(b0 + b1 * shannon_scaled))) AS fitted FROM grid g JOIN fit USING (model) WHERE replicate > 0),
+scales AS (""" + " UNION ALL ".join(f"SELECT '{o}' AS model, avg(shannon) AS mean, stddev_samp(shannon) AS sd FROM kept_{o}" for o in MODELS) + ")",
+        " UNION ALL ".join(
+            f"SELECT model, point, round(any_value(shannon_scaled * sd + mean), 6) + 0.0 AS shannon_scaled_raw, CAST({w} AS DOUBLE) AS width, "
+            f"round(median(fitted), 6) AS median, round(quantile_cont(fitted, {(1 - w) / 2!r}), 6) AS lower, "
+            f"round(quantile_cont(fitted, {(1 + w) / 2!r}), 6) AS upper FROM fitted JOIN scales USING (model) GROUP BY model, point"
+            for w in fixed.INTERVAL_WIDTHS
+        ),
+    ),
+    "logit_formulas": sql_with(
+        _FORMULAS + """,
+counts AS MATERIALIZED (SELECT model, one, z1, z2, z12, "count", count(*)::DOUBLE AS n, (count(*) FILTER (event))::DOUBLE AS e FROM stacked GROUP BY ALL),
+""" + newton_many("counts", ["model"], [*TERMS[:-1], '"count"']),
+        " UNION ALL ".join(
+            f"SELECT model, '{x}' AS param, round(b{i}, 6) + 0.0 AS value, round(se{i}, 6) AS std_error, true AS converged FROM fit" for i, x in enumerate(TERMS)
+        ),
+    ),
+    "compare_formulas": sql_with(
+        _FORMULAS + _REPLICATED.format(rows="stacked", xs='one, z1, z2, z12, "count"', by="1, 2, 3, 4, 5, 6, 7", fits=FITS)
+        + newton_many("counts", ["model", "replicate"], [*TERMS[:-1], '"count"']) + """,
+ll AS (
+  SELECT model, subject_id, subject_day, CASE WHEN event THEN -ln(1 + exp(-eta)) ELSE -ln(1 + exp(eta)) END AS l
+  FROM (SELECT *, b0 + b1 * z1 + b2 * z2 + b3 * z12 + b4 * "count" AS eta FROM stacked JOIN fit USING (model) WHERE replicate > 0)),
+scores AS (
+  SELECT model, subject_id, subject_day, ln(avg(exp(l))) AS lpd, var_samp(l) AS p_waic, -ln(avg(exp(-l))) AS elpd_loo,
+         ln(avg(exp(l))) - var_samp(l) AS elpd_waic FROM ll GROUP BY 1, 2, 3)""" + _COMPARED,
+        _COMPARISON,
     ),
-    "logit_bootstrap": _grid_rows().rstrip() + _BOOT + newton_ctes("boot", ["model", "replicate"], "x") + """
-SELECT model, replicate, 'one' AS param, round(b0, 6) + 0.0 AS value FROM fit
-UNION ALL SELECT model, replicate, 'low_count', round(b1, 6) + 0.0 FROM fit""",
     "top_strata": "SELECT props, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, props LIMIT 10",
     "taxon_labels": sql(
         """
 SELECT DISTINCT dominant_taxon, CASE WHEN dominant_taxon IN ('click', 'view') THEN 'browsing' ELSE dominant_taxon END AS kind,
        CASE WHEN dominant_taxon IN ('click', 'view') THEN 'browsing' ELSE dominant_taxon END || ' (' || dominant_taxon || ')' AS label FROM samples"""
     ),
-    "stratum_slopes": sql_with(
-        _STRATA_SQL + newton_ctes("counts", ["dominant_taxon"], "x") + """,
-sizes AS (SELECT dominant_taxon, CAST(sum(n) AS BIGINT) AS n, CAST(sum(e) AS BIGINT) AS events FROM counts GROUP BY 1),
-pooled AS (SELECT sum(b1 / se1 ** 2) / sum(1 / se1 ** 2) AS mean, sum(1 / se1 ** 2) AS w, sum(1 / se1 ** 4) AS w2, count(*) AS k FROM fit),
-tau AS (SELECT any_value(mean) AS mean, greatest((sum((b1 - mean) ** 2 / se1 ** 2) - (any_value(k) - 1)) / any_value(w - w2 / w), 0.0) AS tau2 FROM fit, pooled)""",
-        """
-SELECT f.dominant_taxon, n, events, round(b1, 6) AS slope, round(se1, 6) AS std_error, round(mean, 6) AS pooled,
-       round((tau2 * b1 + se1 ** 2 * mean) / (tau2 + se1 ** 2), 6) AS shrunk,
-       CASE WHEN f.dominant_taxon IN ('click', 'view') THEN 'browsing' ELSE f.dominant_taxon END AS kind,
-       CASE WHEN f.dominant_taxon IN ('click', 'view') THEN 'browsing' ELSE f.dominant_taxon END || ' (' || f.dominant_taxon || ')' AS label
-FROM fit f JOIN sizes USING (dominant_taxon), tau""",
-    ),
+    "stratum_slopes": _slopes_sql(4),
+    "stratum_slopes_default": _slopes_sql(10),
     "sample_by_size": _LINE_ROWS + """
 SELECT effect, CAST(s AS BIGINT) AS sample_size, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS order_keys, count(*) FILTER (event) AS events
 FROM placed JOIN (VALUES (100), (200), (300)) AS t(s) ON place <= s GROUP BY 1, 2""",
     "sample_size_sweep": _sweep_sql([100, 300, 600]) + """
 SELECT effect, sample_size, round(estimate, 6) AS estimate, round(lower, 6) AS lower, round(upper, 6) AS upper, round(exp(estimate), 6) AS odds_ratio,
-       lower > 0 OR upper < 0 AS detected, round(sign_error_share, 6) AS sign_error_share FROM sweep""",
+       lower > 0 OR upper < 0 AS detected, round(sign_error_share, 6) AS sign_error_share, true AS converged FROM sweep""",
     "detection_share": _sweep_sql([100, 600]) + """
 SELECT sample_size, round(avg(CASE WHEN lower > 0 OR upper < 0 THEN 1.0 ELSE 0.0 END), 6) AS detection_share,
        round(avg(sign_error_share), 6) AS sign_error_share FROM sweep GROUP BY 1""",

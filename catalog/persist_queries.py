@@ -66,7 +66,7 @@ def persistence_count(spark, sf_dir):
 def _set(spark, sf_dir, mode, dedup):
     gappy = _gappy(spark, sf_dir)
     cols = [*DAY, "date", "shannon", "suspected", "confirmed", "first_confirmed"]
-    filled = cut(ec.filled_calendar(gappy))
+    filled = gappy if mode == "none" else cut(ec.filled_calendar(gappy))
     out = persist.persistence_set(
         gappy.select(*cols), filled.select(*cols), "subject_id", "subject_day", "date",
         "confirmed", "first_confirmed", "shannon", "<", 0.6, mode, "suspected", dedup, block_days=7,
@@ -201,7 +201,8 @@ treated AS (
     AND p.ts BETWEEN c.ts - INTERVAL 48 HOUR AND c.ts + INTERVAL 48 HOUR) AS hit
   FROM cultures c)
 SELECT user_id, strftime(ts, '%Y-%m-%d') AS date, true AS suspected, bool_or(growth) AS plus_pathogen,
-       bool_or(growth AND signs) AS plus_signs_and_pathogen, bool_or(growth AND signs AND hit) AS plus_abx_and_pathogen_and_signs
+       bool_or(growth AND signs) AS plus_signs_and_pathogen, bool_or(growth AND signs AND hit) AS plus_abx_and_pathogen_and_signs,
+       bool_or(growth AND hit) AS plus_abx_and_pathogen
 FROM treated GROUP BY 1, 2""",
     "case_window": sql(
         f"""

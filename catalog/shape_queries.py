@@ -171,10 +171,16 @@ def to_long(spark, sf_dir):
 
 def explode_tokens(spark, sf_dir):
     df = ec.samples(spark, sf_dir).select("subject_id", "date", "tokens")
-    out = shape.explode_tokens(df, "tokens", "organism", max_parts=4, rules=[("^Click$", "Click (any)"), ("_", " ")])
+    out = shape.explode_tokens(df, "tokens", "organism", rules=[("^Click$", "Click (any)"), ("_", " ")])
     return text_date(out, "date")
 
 
+def explode_first_tokens(spark, sf_dir):
+    """The first four tokens, where a caller asks for no more."""
+    df = ec.samples(spark, sf_dir).select("subject_id", "date", "tokens")
+    return text_date(shape.explode_tokens(df, "tokens", "organism", max_parts=4, title_case=False), "date")
+
+
 def recode_by_pattern(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     df = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderpriority")).alias("priority"))
@@ -213,6 +219,7 @@ QUERIES = {
     "imputation_share": imputation_share,
     "to_long": to_long,
     "explode_tokens": explode_tokens,
+    "explode_first_tokens": explode_first_tokens,
     "recode_by_pattern": recode_by_pattern,
     "label_columns_and_values": label_columns_and_values,
     "significant_digits": significant_digits,
@@ -332,7 +339,10 @@ UNION ALL SELECT subject_id, subject_day, 'log_abundance', round(log_abundance,
         """
 SELECT subject_id, strftime(date, '%Y-%m-%d') AS date,
        CASE WHEN t = 'click' THEN 'Click (any)' ELSE upper(t[1]) || t[2:] END AS organism
-FROM (SELECT subject_id, date, unnest(string_split(tokens, ' ')[1:4]) AS t FROM samples)"""
+FROM (SELECT subject_id, date, unnest(string_split(tokens, ' ')) AS t FROM samples)"""
+    ),
+    "explode_first_tokens": sql(
+        "SELECT subject_id, strftime(date, '%Y-%m-%d') AS date, unnest(string_split(tokens, ' ')[1:4]) AS organism FROM samples"
     ),
     "recode_by_pattern": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'not recorded'

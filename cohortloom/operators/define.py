@@ -97,18 +97,20 @@ def define_outcome(
     growth: str,
     signs: str,
     window_hours: float = 48,
-    names: Sequence[str] = ("suspected", "plus_pathogen", "plus_signs_and_pathogen", "plus_abx_and_pathogen_and_signs"),
+    names: Sequence[str] = (
+        "suspected", "plus_pathogen", "plus_signs_and_pathogen", "plus_abx_and_pathogen_and_signs", "plus_abx_and_pathogen",
+    ),
 ) -> DataFrame:
-    """Outcome flags per subject and day, from strict to stricter.
+    """Outcome flags per subject and day.
 
     A culture order alone; with growth; with growth and signs; with these and a treatment
-    change within ``window_hours`` of the culture, before or after.
+    change within ``window_hours`` of the culture, before or after; with growth and the change alone.
     """
     # Copies of a culture say nothing new, and would all be sent to one task.
     distinct = cultures.select(subject, ts, growth, signs).distinct()
     flagged = within_hours(distinct, treatments, subject, ts, window_hours, "_treated")
     grown, sick = F.coalesce(growth, F.lit(False)), F.coalesce(signs, F.lit(False))
-    tests = [F.lit(True), grown, grown & sick, grown & sick & F.col("_treated")]
+    tests = [F.lit(True), grown, grown & sick, grown & sick & F.col("_treated"), grown & F.col("_treated")]
     return flagged.groupBy(subject, F.to_date(ts).alias("date")).agg(
         *[F.bool_or(test).alias(name) for test, name in zip(tests, names)]
     )

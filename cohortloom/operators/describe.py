@@ -150,12 +150,15 @@ def baseline_table(
     continuous: Sequence[str],
     categorical: Sequence[str] = (),
     flags: Sequence[str] = (),
+    add_p: bool = False,
 ) -> DataFrame:
     """Baseline characteristics, overall and per group, as a long table.
 
     Continuous variables give median and quartiles (``level`` empty), categorical ones count
     and percentage per level, flags count and percentage of TRUE only.  Percentages are of
     non-missing values.  Subjects whose group is null count in the overall column only.
+    ``add_p`` compares the first two groups: each variable gets its ``test`` and ``p`` (rank sum for
+    continuous ones; chi-square, or Fisher where a 2x2 table has small expected counts, for others).
     """
     groups = F.array(F.lit(OVERALL), F.col(by).cast("string"))
     doubled = subjects.withColumn("_group", F.explode(groups)).where(
@@ -187,12 +190,30 @@ def baseline_table(
             )
         )
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.withColumnRenamed("_group", "group")
+    out = out.withColumnRenamed("_group", "group")
+    if not add_p:
+        return out
+    tests = _group_tests(subjects, by, by_levels, continuous, named)
+    return lookup_join(out, tests, ["variable"], len(continuous) + len(named), "left")
+
+
+def _group_tests(subjects: DataFrame, by: str, by_levels: Sequence[str], continuous: Sequence[str], named: Sequence[str]) -> DataFrame:
+    """``variable``, ``test`` and ``p`` of the difference between the first two groups."""
+    first, second = by_levels[:2]
+    two = subjects.where(F.col(by).isin(first, second))
+    parts = []
+    if continuous:
+        ranks = rank_sum_test(to_long(two, [by], continuous, "variable"), "variable", "value", by, first, second, len(continuous))
+        parts.append(ranks.select("variable", F.lit("rank_sum").alias("test"), "p"))
+    if named:
+        levels = to_long(two, [by], named, "variable", "level", value_type="string")
+        parts.append(contingency_test(levels, "variable", "level", by).select("variable", "test", "p"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def rank_sum_statistics(
     long: DataFrame, variable: str, value: str, group: str, first: str, second: str, variables: int,
-    continuity: bool = True, blocks: int = 256,
+    continuity: bool = True, blocks: int | None = None,
 ) -> DataFrame:
     """Wilcoxon rank-sum statistic of two groups per variable, with tie-corrected z.
 

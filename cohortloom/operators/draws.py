@@ -21,6 +21,8 @@ SUMMARY = ("estimate", "est_error", "q2_5", "q97_5")
 
 
 DRAWS_IN_ONE_TASK = 100_000
+# Draws per model where the caller names no other bound.
+DRAWS_EXPECTED = 4000
 
 
 def _quantiles(
@@ -184,18 +186,20 @@ def fitted_draws(
     effects: DataFrame | None = None,
     effect_keys: Sequence[str] = (),
     effect: str = "effect",
+    draws_bound: int = DRAWS_EXPECTED,
 ) -> DataFrame:
     """Predicted probability per grid row and draw.
 
     ``terms`` maps coefficient columns of the wide draws table to grid columns.  The draws
-    of a model, a bounded number, travel to the grid as one array per model.  ``effects``
+    of a model travel to the grid as one array per model: by broadcast where ``models`` times
+    ``draws_bound`` draws are small, else by a join.  ``effects``
     holds subject or level effects per draw, joined on ``effect_keys`` and the draw.
 
     A packed grid (array column ``points``) is unpacked last: the join with the effects then
     shuffles one row per subject and draw, not one per point.
     """
     params = [*([intercept] if intercept else []), *terms]
-    rows = lookup_join(grid, packed_draws(draws, model, draw, params), [model], models, "inner")
+    rows = lookup_join(grid, packed_draws(draws, model, draw, params), [model], models, "inner", width=draws_bound * (8 * len(params) + 24))
     rows = rows.select(*grid.columns, F.inline("_draws")).withColumnRenamed("_draw", draw)
     if effects is not None:
         rows = rows.join(effects.select(*effect_keys, draw, effect), [*effect_keys, draw], "left")
@@ -221,11 +225,11 @@ def ribbon(
     widths: Sequence[float] = (0.5, 0.8, 0.95),
     group_bound: int | None = None,
 ) -> DataFrame:
-    """Intervals of the prediction along x, with x back on its original scale.
+    """Intervals of the prediction along x, with x back on its original scale.  ``fitted`` is worked out once and stored.
 
     ``scales`` has one row per ``scale_keys`` with ``mean`` and ``sd`` of the censored set.
     """
-    bands = median_qi(fitted, [*by, x], "fitted", widths, None, group_bound)
+    bands = median_qi(cut(fitted.select(*dict.fromkeys([*by, x]), "fitted")), [*by, x], "fitted", widths, None, group_bound)
     scaled = lookup_join(bands, scales.select(*scale_keys, "mean", "sd"), list(scale_keys), scale_bound, "inner")
     return scaled.withColumn(f"{x}_raw", F.col(x) * F.col("sd") + F.col("mean")).drop("mean", "sd")
 
@@ -248,20 +252,21 @@ def contrast(
     """
     wide = fitted.groupBy(*by, *unit).pivot(level, list(levels)).agg(F.max(value))
     wide = wide.withColumn("contrast", F.col(minuend) - F.col(subtrahend))
-    long = wide.unpivot([*by], [*levels, "contrast"], "posterior", "value")
+    long = cut(wide.unpivot([*by], [*levels, "contrast"], "posterior", "value"))
     bound = None if group_bound is None else group_bound * (len(levels) + 1)
     return median_qi(long, [*by, "posterior"], "value", [width], None, bound).withColumnRenamed("median", "estimate")
 
 
 def pointwise_loglik(
-    df: DataFrame, draws: DataFrame, model: str, draw: str, intercept: str | None, terms: dict[str, str], event: str, models: int
+    df: DataFrame, draws: DataFrame, model: str, draw: str, intercept: str | None, terms: dict[str, str], event: str, models: int,
+    draws_bound: int = DRAWS_EXPECTED,
 ) -> DataFrame:
     """Bernoulli log-likelihood of every observation as an array over the model's draws.
 
     Adds ``loglik`` without a shuffle of the observations.
     """
     params = [*([intercept] if intercept else []), *terms]
-    rows = lookup_join(df, packed_draws(draws, model, draw, params), [model], models, "inner")
+    rows = lookup_join(df, packed_draws(draws, model, draw, params), [model], models, "inner", width=draws_bound * (8 * len(params) + 24))
 
     def one(d: Column) -> Column:
         eta = d[intercept] if intercept else F.lit(0.0)

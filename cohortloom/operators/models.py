@@ -24,6 +24,7 @@ MAX_STEP = 4.0
 # replicates, a finite and unique estimate and hardly moves any other.
 RIDGE = 1e-3
 ROUNDS_PER_CUT = 3
+FEW_COUNTS = 1_000_000
 
 
 def sufficient_counts(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -43,19 +44,24 @@ def bootstrap_counts(
 
     A cluster gets a Poisson(1) weight per replicate from a hash of seed, replicate and cluster,
     so no sample is drawn and any task can compute any weight again.
+
+    What is stored has a row per (model, cluster, covariates), however many replicates there are.
+    Where covariates repeat so much that the counts of all replicates are no more rows than
+    that, or than ``FEW_COUNTS``, these are stored instead; else they are worked out again in every round.
     """
     if not replicates:
-        return sufficient_counts(df, [model], y, xs).withColumn(REPLICATE, F.lit(0))
-    per_cluster = sufficient_counts(df, [model, cluster], y, xs)
+        return cut(sufficient_counts(df, [model], y, xs)).withColumn(REPLICATE, F.lit(0))
+    per_cluster = cut(sufficient_counts(df, [model, cluster], y, xs))
     weighted = per_cluster.withColumn(REPLICATE, F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn(
         "_w",
         F.when(F.col(REPLICATE) == 0, F.lit(1)).otherwise(poisson_one(unit_hash(seed, REPLICATE, cluster))),
     )
-    return (
-        weighted.where(F.col("_w") > 0)
-        .groupBy(model, REPLICATE, *xs)
-        .agg(F.sum(F.col("n") * F.col("_w")).alias("n"), F.sum(F.col("events") * F.col("_w")).alias("events"))
-    )
+    weighted = weighted.where(F.col("_w") > 0)
+    n, events = F.col("n") * F.col("_w"), F.col("events") * F.col("_w")
+    collapsed = per_cluster.select(model, *xs).distinct().count() * (replicates + 1)
+    if collapsed <= max(FEW_COUNTS, per_cluster.count()):
+        return cut(weighted.groupBy(model, REPLICATE, *xs).agg(F.sum(n).alias("n"), F.sum(events).alias("events")))
+    return weighted.select(model, REPLICATE, *xs, n.alias("n"), events.alias("events"))
 
 
 def newton_sums(counts: DataFrame, beta: DataFrame | None, keys: Sequence[str], xs: Sequence[str], bound: int | None) -> DataFrame:
@@ -68,7 +74,7 @@ def newton_sums(counts: DataFrame, beta: DataFrame | None, keys: Sequence[str],
         rows = counts.withColumns({f"_b{i}": F.lit(0.0) for i in range(k)})
     else:
         current = beta.select(*keys, *[F.col("beta")[i].alias(f"_b{i}") for i in range(k)])
-        rows = lookup_join(counts, current, keys, bound, "inner")
+        rows = lookup_join(counts, current, keys, bound, "inner", width=8 * k + 64)
     eta = F.lit(0.0)
     for i, x in enumerate(xs):
         eta = eta + F.col(f"_b{i}") * F.col(x)
@@ -119,17 +125,19 @@ def logit_fit(
     max_rounds: int = 24,
     tolerance: float = 1e-9,
     ridge: float = RIDGE,
+    bound: int | None = None,
 ) -> DataFrame:
-    """Newton iterations for every key at once: keys, n, events, ``beta``, ``std_error``, ``step``.
+    """Newton iterations for every key at once: keys, n, events, ``beta``, ``std_error``, ``step``, ``converged``.
 
-    Each round is one aggregation of the counts with the coefficients of the round before, a
+    ``counts`` is read once per round, so store what is costly.  ``bound`` is a proven number
+    of keys; without it they are counted.  Each round is one aggregation of the counts with the coefficients of the round before, a
     small table that is written to shared storage every few rounds.  A covariate that is zero in all rows
     of a key keeps coefficient 0, so models with different terms share one call.  ``ridge``
-    keeps separated data finite; ``step`` tells how far a key is from convergence.
+    keeps separated data finite; ``step`` tells how far a key is from convergence, ``converged``
+    whether it got there within ``max_rounds``.
     """
     keys = list(keys)
-    counts = cut(counts)  # read once per round
-    bound = counted_bound(counts.select(*keys).distinct(), BROADCAST_ROWS)
+    bound = counted_bound(counts.select(*keys).distinct(), BROADCAST_ROWS) if bound is None else bound
     beta = None
     for _ in range(-(-max_rounds // ROUNDS_PER_CUT)):
         for _ in range(ROUNDS_PER_CUT):
@@ -137,18 +145,18 @@ def logit_fit(
         beta = cut(beta)
         if (beta.agg(F.max("step")).first()[0] or 0.0) < tolerance:
             break
-    return beta
+    return beta.withColumn("converged", F.col("step") < tolerance)
 
 
 def coefficients(fit: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """One row per key and coefficient."""
+    """One row per key and coefficient, with ``converged`` and the last ``step`` of the key's fit."""
     entries = F.array(
         *[
             F.struct(F.lit(x).alias("param"), F.col("beta")[i].alias("value"), F.col("std_error")[i].alias("std_error"))
             for i, x in enumerate(xs)
         ]
     )
-    return fit.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
+    return fit.select(*keys, "converged", "step", F.explode(entries).alias("_e")).select(*keys, "_e.*", "converged", "step")
 
 
 def logit_many(
@@ -161,7 +169,7 @@ def logit_many(
     seed: int = 16,
     **options,
 ) -> DataFrame:
-    """Fit every model and every bootstrap replicate; long table (model, replicate, param, value).
+    """Fit every model and every bootstrap replicate; long table (model, replicate, param, value, std_error, converged, step).
 
     Replicate 0 is the estimate; replicates 1..B are draws for the operators on draws tables.
     """
@@ -188,9 +196,9 @@ def stratum_slopes(
     chosen = F.broadcast(top_strata(df, stratum, k))
     rows = df.join(chosen, stratum).withColumn("_one", F.lit(1.0))
     xs = ["_one", x]
-    fit = logit_fit(sufficient_counts(rows, [stratum], y, xs), [stratum], xs, **options)
+    fit = logit_fit(cut(sufficient_counts(rows, [stratum], y, xs)), [stratum], xs, bound=k, **options)
     slopes = fit.select(
-        stratum, F.col("n").cast("long").alias("n"), F.col("events").cast("long").alias("events"),
+        stratum, "converged", F.col("n").cast("long").alias("n"), F.col("events").cast("long").alias("events"),
         F.col("beta")[1].alias("slope"), F.col("std_error")[1].alias("std_error"),
     )
     w = 1.0 / (F.col("std_error") * F.col("std_error"))
@@ -208,7 +216,7 @@ def stratum_slopes(
     keep = F.col("_tau2") / (F.col("_tau2") + F.col("std_error") * F.col("std_error"))
     out = moved.select(
         stratum, "n", "events", "slope", "std_error", F.col("_s.mean").alias("pooled"),
-        (keep * F.col("slope") + (1 - keep) * F.col("_s.mean")).alias("shrunk"),
+        (keep * F.col("slope") + (1 - keep) * F.col("_s.mean")).alias("shrunk"), "converged",
     )
     if labels is None:
         return out
@@ -251,7 +259,8 @@ def sample_size_sweep(
     """Refit y ~ 1 + x on samples of every size and summarise the odds ratio.
 
     Per (group, size): estimate and bootstrap interval of the log-odds, odds ratio, whether
-    the interval excludes zero, and the share of draws with the sign opposite to the full data's.
+    the interval excludes zero, the share of draws with the sign opposite to the full data's, and
+    whether all fits converged.
     """
     xs = ["_one", x]
     keyed = df.withColumn("_one", F.lit(1.0))
@@ -264,20 +273,23 @@ def sample_size_sweep(
     slope = slope.select(
         F.element_at(parts, -1).cast("int").alias("sample_size"),
         F.array_join(F.slice(parts, 1, F.size(parts) - 1), "|").alias(group),
-        REPLICATE, "value",
+        REPLICATE, "value", "converged",
+    )
+    truth = full.where(F.col("param") == x).select(
+        F.col("_model").alias(group), F.col("value").alias("full_value"), F.col("converged").alias("_full_converged")
     )
-    truth = full.where(F.col("param") == x).select(F.col("_model").alias(group), F.col("value").alias("full_value"))
     rows = slope.join(truth, group)
     drawn = F.when(F.col(REPLICATE) > 0, F.col("value"))
     q = F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975)))
     opposite = F.when(F.col(REPLICATE) > 0, (F.signum("value") != F.signum("full_value")).cast("double"))
     out = rows.groupBy(group, "sample_size").agg(
-        F.max(F.when(F.col(REPLICATE) == 0, F.col("value"))).alias("estimate"), q.alias("_q"), F.avg(opposite).alias("sign_error_share")
+        F.max(F.when(F.col(REPLICATE) == 0, F.col("value"))).alias("estimate"), q.alias("_q"), F.avg(opposite).alias("sign_error_share"),
+        F.bool_and(F.col("converged") & F.col("_full_converged")).alias("converged"),
     )
     return out.select(
         group, "sample_size", "estimate", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"),
         F.exp("estimate").alias("odds_ratio"),
-        ((F.col("_q")[0] > 0) | (F.col("_q")[1] < 0)).alias("detected"), "sign_error_share",
+        ((F.col("_q")[0] > 0) | (F.col("_q")[1] < 0)).alias("detected"), "sign_error_share", "converged",
     )
 
 

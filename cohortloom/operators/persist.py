@@ -36,12 +36,13 @@ def persistence_count(
 
     A row improves when its flag is false and the flag of the row before is true.  It starts a new
     episode at count 0.  Observations are counted, not calendar days.  Rows without a
-    flag take no part and are dropped.
+    flag or a day take no part and are dropped.  Rows of one day follow each other by
+    ``tie_break`` and then by all their values, so only rows that are equal are exchangeable.
     """
     subject = as_list(subject)
-    order = [day, *tie_break]
+    order = [day, *tie_break, *[c for c in df.columns if c not in (day, flag, *tie_break, *subject)], flag]
     on = F.col(flag).cast("boolean")
-    rows = df.where(on.isNotNull()).withColumn(BLOCK, day_block(day, block_days))
+    rows = df.where(on.isNotNull() & F.col(day).isNotNull()).withColumn(BLOCK, day_block(day, block_days))
     upto = in_block(subject, order)
     rows = rows.withColumns(
         {
@@ -172,6 +173,10 @@ def persistence_grid(
                     f"CASE WHEN {usable} THEN CAST({value} {op} {threshold!r} AS TINYINT) END"
                 )
     number = {key: i for i, key in enumerate(codes)}
+    place = {outcome: i for i, outcome in enumerate(outcomes)}
+
+    def text(name: str) -> str:
+        return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     # Expressions are written as SQL text here: dozens of sets would otherwise mean
     # thousands of calls into the JVM while the plan is built.
@@ -180,7 +185,7 @@ def persistence_grid(
     k = range(len(codes))
     # The codes are worked out before the shuffle: one small row per subject-day.
     events = [
-        f"CASE WHEN `{date}` IS NOT NULL AND (`{first}` IS NULL OR `{date}` <= `{first}`) THEN `{flag}` END AS _event_{outcome}"
+        f"CASE WHEN `{date}` IS NOT NULL AND (`{first}` IS NULL OR `{date}` <= `{first}`) THEN `{flag}` END AS _event_{place[outcome]}"
         for outcome, (flag, first) in outcomes.items()
     ]
     rows = calendar.withColumn(BLOCK, day_block(day, block_days)).selectExpr(
@@ -206,8 +211,8 @@ def persistence_grid(
             for outcome in outcomes:
                 i = number[mode, measure, present[outcome]]
                 entries.append(
-                    f"CASE WHEN _s{i} IS NOT NULL AND _event_{outcome} IS NOT NULL THEN "
-                    f"named_struct('mode', '{mode}', 'measure', '{measure}', 'outcome', '{outcome}', 'event', _event_{outcome}, "
+                    f"CASE WHEN _s{i} IS NOT NULL AND _event_{place[outcome]} IS NOT NULL THEN "
+                    f"named_struct('mode', {text(mode)}, 'measure', {text(measure)}, 'outcome', {text(outcome)}, 'event', _event_{place[outcome]}, "
                     f"'low_count', CAST(coalesce(_p{i} - _z{i}, _runs[{i}] + _p{i}) AS BIGINT)) END"
                 )
     long = rows.selectExpr(keys[0], f"`{day}`", f"explode(array({', '.join(entries)})) AS _e")

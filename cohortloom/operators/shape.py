@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.scalars import matches, nan_to_null, recode, significant, value_label
 from cohortloom.plans.blocks import (
-    BLOCK,
     DEFAULT_BLOCK_DAYS,
     as_list,
     attach_block_state,
@@ -20,6 +19,7 @@ from cohortloom.plans.blocks import (
     in_block,
     ordered_in_block,
 )
+from cohortloom.plans.joins import lookup_join
 from cohortloom.plans.ranking import exact_quantiles
 
 GAP_CHUNK = 4096
@@ -192,18 +192,19 @@ def censor_at_first(
     return kept.select(*df.columns)
 
 
-def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:
-    """Standardise columns over the whole table; a constant column gives null.
+def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled", by: str | None = None, levels: int | None = None) -> DataFrame:
+    """Standardise columns over the whole table, or inside each value of ``by``; a constant column gives null.
 
-    Means and deviations come from one aggregate that is read as a scalar.
+    Means and deviations come from one aggregate.  Without ``by`` it is read as a scalar; with it, it is
+    joined, and ``levels`` is the number of values that the caller can prove.  A null ``by`` is a value.
     """
-    stats = df.agg(
-        F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in cols],
-            *[F.stddev_samp(c).alias(f"s_{c}") for c in cols],
-        ).alias("s")
-    )
-    rows = df.withColumn("_stats", stats.scalar())
+    moments = [*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]]
+    if by is None:
+        rows = df.withColumn("_stats", df.agg(F.struct(*moments).alias("s")).scalar())
+    else:
+        key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+        stats = df.groupBy(key.alias("_by")).agg(F.struct(*moments).alias("_stats"))
+        rows = lookup_join(df.withColumn("_by", key), stats, ["_by"], levels, "inner", width=16 * len(cols) + 64).drop("_by")
     scaled = {
         f"{c}{suffix}": (F.col(c) - F.col("_stats")[f"m_{c}"]) / F.nullif(F.col("_stats")[f"s_{c}"], F.lit(0.0))
         for c in cols
@@ -264,12 +265,14 @@ def explode_tokens(
     col: str,
     out: str,
     sep: str = " ",
-    max_parts: int = 5,
+    max_parts: int | None = None,
     title_case: bool = True,
     rules: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
-    """One row per token of a multi-valued string; tokens beyond ``max_parts`` are dropped."""
-    tokens = F.slice(F.split(F.col(col), rf"\Q{sep}\E"), 1, max_parts)
+    """One row per token of a multi-valued string, or per token of the first ``max_parts`` where that is asked for."""
+    tokens = F.split(F.col(col), rf"\Q{sep}\E")
+    if max_parts is not None:
+        tokens = F.slice(tokens, 1, max_parts)
     label = F.initcap("_token") if title_case else F.col("_token")
     for pattern, replacement in rules:
         label = F.regexp_replace(label, pattern, replacement)
@@ -303,7 +306,6 @@ def signif(df: DataFrame, cols: Sequence[str], digits: int) -> DataFrame:
 
 
 __all__ = [
-    "BLOCK",
     "analysis_set",
     "baseline_enrich",
     "censor_at_first",

@@ -6,6 +6,8 @@ the whole cohort) holds a large part of the data.
 
 ``exact_quantiles`` brackets each wanted rank with a sketch, keeps exact values only inside
 the brackets and mere counts outside, and reads the exact order statistics from what is left.
+What is left grows with the data; it is summed up in sorted ranges, never in one task.  A rank
+outside its bracket widens the brackets and counts again.
 
 ``midrank_counts`` cuts the value range into blocks of about equal size, ranks distinct
 values inside each block and adds the number of rows in the blocks before.
@@ -18,13 +20,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.plans.joins import BROADCAST_ROWS, lookup_join
+from cohortloom.plans.joins import fits_broadcast, lookup_join
 from cohortloom.plans.lineage import cut
 
 ACCURACY = 10_000
 # A group of at most this many values per unit of accuracy is ranked whole.  Above it, the bracket
 # margin is worth several ranks more than the error of the sketch.
 WHOLE_GROUP = 2
+# Rows that one window task sorts at most when counts are summed up in value order.
+WINDOW_ROWS = 1_000_000
+# Rows per block of a ranking; more blocks than the second number make the sketch of their edges large.
+BLOCK_ROWS, MOST_BLOCKS = 100_000, 16_384
 
 
 def exact_quantiles(
@@ -58,55 +64,100 @@ def quantile_arrays(
     by = list(by)
     wanted, probs = list(probs), sorted(set(probs))
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    edges = _brackets(rows, by, probs, accuracy)
+    margin = 3.0 / accuracy
     rows = rows.withColumn("_times", F.lit(1).cast("long"))
+    if by and not fits_broadcast(group_bound, 16 * len(probs) + 64):
+        # Equal values would all get the same salt, so they are counted before the salted join.
+        rows = rows.groupBy(*by, "_v").agg(F.sum("_times").alias("_times"))
+    while True:
+        cells = cut(_cells(rows, by, probs, group_bound, accuracy, margin))
+        hits = _hits(cells, by, probs)
+        if margin >= 1.0 or not hits.where("_kept IS NULL").limit(1).count():
+            break
+        # A rank outside its bracket: the sketch was off by more than its margin.
+        margin *= 16
+    bounds = [
+        f"CASE WHEN _upto >= {r} AND _from < {r} THEN _kept END AS {name}"
+        for name, r in (("_a", "least(floor((n - 1) * p) + 1, n)"), ("_b", "least(floor((n - 1) * p) + 2, n)"))
+    ]
+    stats = (
+        hits.selectExpr(*[f"`{b}`" for b in by], "n", "i", "p", *bounds)
+        .groupBy(*by, "n", "i", "p")
+        .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    )
+    h = (F.col("n") - 1) * F.col("p")
+    share = h - F.floor(h)
+    # Weights rather than a difference, which infinite neighbours do not have.
+    between = F.col("_a") * (1 - share) + F.col("_b") * share
+    q = F.when((F.col("_a") == F.col("_b")) | (share == 0), F.col("_a")).otherwise(between)
+    found = stats.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("_q"))
+    places = ", ".join(str(probs.index(p)) for p in wanted)
+    return found.selectExpr(*[f"`{b}`" for b in by], "n", f"transform(array({places}), k -> _q[k].q) AS quantiles")
+
+
+def _cells(
+    rows: DataFrame, by: Sequence[str], probs: Sequence[float], group_bound: int | None, accuracy: int, margin: float
+) -> DataFrame:
+    """Counts ``_c`` of values inside a bracket (``_kept``) and, per gap between brackets, of all others (null)."""
+    edges = _brackets(rows, by, probs, accuracy, margin)
     if by:
-        if group_bound is None or group_bound > BROADCAST_ROWS:
-            # Equal values would all get the same salt, so they are counted before the salted join.
-            rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times"))
-            # A sketch that is worked out again after a lost executor may differ; stored edges do not.
-            edges = cut(edges)
+        # A sketch that is worked out again after a lost executor may differ; stored edges do not.
+        edges = cut(edges)
         # Null group labels must meet their own bracket, so the key is null-safe text.
         keyed, keys = _null_safe(rows, by)
         edge_rows, _ = _null_safe(edges, by)
-        joined = lookup_join(keyed, edge_rows.drop(*by), keys, group_bound, "inner").drop(*keys)
+        joined = lookup_join(keyed, edge_rows.drop(*by), keys, group_bound, "inner", width=16 * len(probs) + 64).drop(*keys)
     else:
         packed = edges.select(F.struct("_lo", "_hi").alias("e"))
         joined = rows.withColumn("_e", packed.scalar()).select("_v", "_times", "_e._lo", "_e._hi")
     # The first bracket that does not end below the value is the only one that may hold it.
-    cells = (
+    return (
         count_below(joined, "_hi", len(probs), "_v", "_j")
         .select(*by, "_j", F.when(F.get("_lo", F.col("_j")) <= F.col("_v"), F.col("_v")).alias("_kept"), "_times")
         .groupBy(*by, "_j", "_kept")
         .agg(F.sum("_times").alias("_c"))
     )
-    # Value order: the values between two brackets (null) come before the next bracket.
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    in_order = w.orderBy("_j", F.asc_nulls_first("_kept"))
-    ranked = cells.withColumns({"_upto": F.sum("_c").over(in_order), "n": F.sum("_c").over(w)})
+
+
+def _hits(cells: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The cells that hold a wanted order statistic, with their ranks (``_from``, ``_upto``] and the group's size ``n``."""
+    ranked = running_sum(cells, by, ["_j", "_kept"], "_c", "_upto", "n")
     # The wanted ranks: for each probability the order statistic below and the one above.
     literals = ", ".join(f"{p!r}D" for p in probs)
     targets = f"transform(array({literals}), (p, i) -> named_struct('i', i, 'p', p))"
     rank = "least(floor((n - 1) * t.p) + {up}, n)"
-    hits = ranked.selectExpr(
+    return ranked.selectExpr(
         *[f"`{b}`" for b in by], "n", "_kept", "_upto - _c AS _from", "_upto",
         f"inline(filter({targets}, t -> _upto >= {rank.format(up=1)} AND _upto - _c < {rank.format(up=2)}))",
     )
-    kept = "CASE WHEN _kept IS NULL THEN CAST(raise_error('a quantile lies outside its bracket') AS DOUBLE) ELSE _kept END"
-    bounds = [
-        f"CASE WHEN _upto >= {r} AND _from < {r} THEN {kept} END AS {name}"
-        for name, r in (("_a", "least(floor((n - 1) * p) + 1, n)"), ("_b", "least(floor((n - 1) * p) + 2, n)"))
-    ]
-    stats = (
-        hits.selectExpr(*[f"`{b}`" for b in by], "n", "i", "p", *bounds)
-        .groupBy(*by, "n", "i", "p")
-        .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    )
-    h = (F.col("n") - 1) * F.col("p")
-    q = F.col("_a") + (F.col("_b") - F.col("_a")) * (h - F.floor(h))
-    found = stats.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("_q"))
-    places = ", ".join(str(probs.index(p)) for p in wanted)
-    return found.selectExpr(*[f"`{b}`" for b in by], "n", f"transform(array({places}), k -> _q[k].q) AS quantiles")
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, upto: str, total: str) -> DataFrame:
+    """``value`` summed up along ``order`` in each group (``upto``), and over the group (``total``).
+
+    ``df`` is a stored table.  Up to ``WINDOW_ROWS`` rows a window does it.  Beyond, rows are
+    sorted into ranges of about so many rows; sums run inside a range and along the ranges, so no task
+    holds a group.
+    """
+    n = df.count()
+    in_order = [F.asc_nulls_first(c) for c in order]
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if n <= WINDOW_ROWS:
+        along = whole.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({upto: F.sum(value).over(along), total: F.sum(value).over(whole)})
+    ranges = -(-n // WINDOW_ROWS)
+    keys = [F.asc_nulls_first(c) for c in by]
+    placed = cut(df.repartitionByRange(ranges, *keys, *in_order).withColumn("_range", F.spark_partition_id()))
+    group = [F.coalesce(F.concat(F.lit("="), F.col(b).cast("string")), F.lit("")).alias(f"_g{i}") for i, b in enumerate(by)]
+    names = [f"_g{i}" for i in range(len(by))]
+    keyed = placed.select("*", *group)
+    sums = keyed.groupBy(*names, "_range").agg(F.sum(value).alias("_sum"))
+    per_group = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    before = per_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(before), F.lit(0)), total: F.sum("_sum").over(per_group)}).drop("_sum")
+    inside = Window.partitionBy("_range", *names).orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = keyed.withColumn("_inside", F.sum(value).over(inside))
+    return summed.join(starts, ["_range", *names]).withColumn(upto, F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_range", *names)
 
 
 def count_below(df: DataFrame, edges: str, k: int, value: str, out: str) -> DataFrame:
@@ -123,8 +174,7 @@ def count_below(df: DataFrame, edges: str, k: int, value: str, out: str) -> Data
     return df.drop("_padded")
 
 
-def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    margin = 3.0 / accuracy
+def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int, margin: float) -> DataFrame:
     lower = [max(0.0, p - margin) for p in probs]
     upper = [min(1.0, p + margin) for p in probs]
     sketch = rows.groupBy(*by).agg(
@@ -154,12 +204,13 @@ def _null_safe(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def midrank_counts(
-    df: DataFrame, by: str, value: str, counts: dict[str, Column], levels: int, blocks: int = 256
+    df: DataFrame, by: str, value: str, counts: dict[str, Column], levels: int, blocks: int | None = None
 ) -> DataFrame:
     """Distinct values per ``by`` with their mid-rank, tie count and extra counts.
 
     ``levels`` is the proven number of distinct ``by`` values (for example the number of
-    unpivoted measures).  The block edges are written out before use, so that the
+    unpivoted measures).  Blocks are as many as keep them near ``BLOCK_ROWS`` rows, unless
+    their number is given.  The block edges are written out before use, so that the
     row branch and the block-total branch see the same edges.
     """
     distinct = (
@@ -167,6 +218,8 @@ def midrank_counts(
         .groupBy(by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("ties"), *[c.alias(n) for n, c in counts.items()])
     )
+    if blocks is None:
+        blocks = min(MOST_BLOCKS, max(2, -(-df.count() // BLOCK_ROWS)))
     probs = [i / blocks for i in range(1, blocks)]
     edges = cut(
         df.where(F.col(value).isNotNull())

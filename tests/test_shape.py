@@ -139,9 +139,11 @@ def test_zscore_of_constant_is_null_and_needs_no_window(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "staphylococcus_aureus staphylococcus")], "s int, t string")
+    five = shape.explode_tokens(df, "t", "organism", max_parts=5, rules=fixed.ORGANISM_RULES)
+    assert rows(five.where("s = 1"), "s", "organism") == [(1, x) for x in "ABCDE"]
     out = shape.explode_tokens(df, "t", "organism", rules=fixed.ORGANISM_RULES)
     assert rows(out, "s", "organism") == [
-        (1, "A"), (1, "B"), (1, "C"), (1, "D"), (1, "E"),
+        (1, "A"), (1, "B"), (1, "C"), (1, "D"), (1, "E"), (1, "F"),
         (3, "Staphylococcus (non-aureus)"), (3, "Staphylococcus aureus"),
     ]
 
