@@ -1,0 +1,66 @@
+"""Near copies of the pipeline: five-word shingles, similarity 0.8, rows without or with repeated ids."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from cohortloom.llm import near_copies, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+VOCABULARY = [f"w{i}" for i in range(20_000)]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = rng.choice(VOCABULARY)
+    return words
+
+
+def similarity(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+    return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        base = rng.choices(VOCABULARY, k=250)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(edited(rng, base, 2))), (10 * k + 2, " ".join(edited(rng, base, 5)))]
+        rows += [(10 * k + 3, " ".join(edited(rng, base, 40)))]
+    text = dict(rows)
+    close = {b for a, b in combinations(text, 2) if a // 10 == b // 10 and similarity(text[a], text[b]) >= 0.8}
+    assert len(close) >= 70
+    assert [i for i, _ in kept(spark, rows)] == sorted((i for i in text if i not in close), key=lambda i: str((i, text[i])))
+
+
+@pytest.mark.parametrize("paired, block", [(64, 4000), (3, 4000), (3, 7)])
+def test_crowds_link_as_all_pairs_do(spark, paired, block):
+    rng = random.Random(8)
+    bases = [rng.choices(VOCABULARY, k=80) for _ in range(4)]
+    texts = [" ".join(edited(rng, bases[i % 4], rng.randrange(4))) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    marked = near_copies.marked(docs, ["_row"]).selectExpr("_row as node", "explode(cells) as cell").cache()
+    pairs = near_copies.links(marked, docs.withColumnRenamed("_row", "node"), paired, block)
+    linked = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in linked)
+    every = [(a, b) for a, b in combinations(range(100), 2) if similarity(texts[a], texts[b]) >= 0.8]
+    roots = lambda edges: {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert roots(linked) == roots(every)
+
+
+def test_signature_of_odd_texts():
+    by = near_copies.mixers()
+    for text in ("", " \t", "one", "a b c d", "x" * 100_000, "word " * 50_000):
+        grams = near_copies.shingles(text)
+        whole, cells = near_copies.signature(grams, by)
+        assert np.array_equal(near_copies.shingles(text.upper()), grams) and len(cells) == (near_copies.BANDS if text.split() else 0)
