@@ -43,6 +43,15 @@ def test_edited_copies_go(spark):
     assert [i for i, _ in kept(spark, rows)] == sorted((i for i in text if i not in close), key=lambda i: str((i, text[i])))
 
 
+def test_different_rows_stay_whatever_their_ids(spark):
+    rows = [(None, f"quite another text number {i} of its own kind and with no copy {i * i}") for i in range(6)]
+    rows += [(7, "one text under this id has words of its own here"), (7, "the same id again but nothing else is the same at all")]
+    rows += [(9, "a text that is there three times in all"), (9, "a text that is there three times in all"), (None, "A text that is there three times in all")]
+    assert kept(spark, rows) == sorted(rows[:9], key=str)
+    docs = spark.createDataFrame([(i, t, "en", "a", 9) for i, t in rows[:8]], SCHEMA)
+    assert corpus_pipeline.mixed(spark, docs, "").select("doc_id", "text").distinct().count() == 8
+
+
 @pytest.mark.parametrize("paired, block", [(64, 4000), (3, 4000), (3, 7)])
 def test_crowds_link_as_all_pairs_do(spark, paired, block):
     rng = random.Random(8)
