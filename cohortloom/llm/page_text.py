@@ -37,6 +37,9 @@ NOISE = re.compile(
     r"sidebar\w*|signup|skip|social\w*|sponsor\w*|subscribe|toolbar|topbar|widget\w*)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Classes that say of a wrapper what it holds or lacks, and names that stay noise however much text they hold.
+STATE = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.IGNORECASE)
+ANSWERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|recommended|related|replies|reply|respond)(?:$|[\s_-])", re.IGNORECASE)
 CONTENT = frozenset(("article", "main"))
 #: A slot is template if so many pages of a host have it and this share of them the same text in it.
 LEAST_PAGES, CONSTANT = 4, 0.6
@@ -50,17 +53,65 @@ class Node:
     text: str | None = None
     inside: bool = False
     children: list[Node] = field(default_factory=list)
+    within: tuple[int, ...] = ()
 
 
-def is_noise(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in CONTENT or tag in ("body", "html"):
-        return False
+def name_of(attributes: str) -> tuple[dict[str, str], str]:
+    """Attributes, and class and id without classes of state."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-    return bool(hidden or found.get("role", "").lower() in ROLES or NOISE.search(named))
+    return found, STATE.sub("", f"{found.get('class', '')} {found.get('id', '')}")
+
+
+def noise_of(tag: str, attributes: str, inside: bool) -> str:
+    """"always" where the element is noise by what it is, "form", "answers" or "named" where it may be a wrapper, else empty."""
+    if (tag in NEVER and tag != "form") or (tag == "header" and not inside):
+        return "always"
+    if not attributes or tag in CONTENT or tag in ("body", "html"):
+        return "form" if tag == "form" else ""
+    found, named = name_of(attributes)
+    role = found.get("role", "").lower()
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or role in ROLES - {"form"}:
+        return "always"
+    if ANSWERS.search(named):
+        return "answers"
+    return "form" if tag == "form" or role == "form" else "named" if NOISE.search(named) else ""
+
+
+def drop_noise(root: Node, kinds: list[str], holds: list[tuple[str, Node, tuple[int, ...]]]) -> None:
+    """Drop elements that a name, or being a form, makes noise, unless they are the page's wrapper.
+
+    A wrapper holds text of the page's ``main``; or, where no article is outside such elements, articles of
+    as much text as is outside them, or most of the page's text.  The constancy of its blocks
+    then decides.  Comments and links to other pages are no wrapper for their length.
+    """
+
+    def length(node: Node) -> int:
+        return sum(len(b.text) for b in blocks(node))
+
+    chars, held = [0] * len(kinds), [0] * len(kinds)
+    total = clean = 0
+    for b in blocks(root):
+        total += len(b.text)
+        clean += 0 if b.within else len(b.text)
+        for i in b.within:
+            chars[i] += len(b.text)
+    full = [(tag, n, within) for tag, node, within in holds if (n := length(node))]
+    outside = any(tag == "article" and not within for tag, _, within in full)
+    wrapper = {i for tag, _, within in full if tag == "main" for i in within}
+    for tag, n, within in full:
+        for i in within if tag == "article" and not outside else ():
+            held[i] += n
+    wrapper |= {i for i, n in enumerate(held) if n and n >= clean}
+    wrapper |= {i for i, kind in enumerate(kinds) if not outside and kind != "answers" and 2 * chars[i] > total}
+    gone = set(range(len(kinds))) - wrapper
+
+    def prune(node: Node) -> None:
+        node.children = [c for c in node.children if gone.isdisjoint(c.within)]
+        for c in node.children:
+            prune(c)
+
+    if gone:
+        prune(root)
 
 
 def parse(page: str) -> Node:
@@ -70,19 +121,22 @@ def parse(page: str) -> Node:
     has its character references decoded and white space made single.
     """
     root = Node("#root")
-    open_tags: list[tuple[str, Node, bool, bool]] = []  # tag, its node or its parent's, noise, inside the content
+    # Tag, its node or its parent's, numbers of the elements around it that may be noise (None if it is), inside the content.
+    open_tags: list[tuple[str, Node, tuple[int, ...] | None, bool]] = []
     words: list[str] = []
+    kinds: list[str] = []
+    holds: list[tuple[str, Node, tuple[int, ...]]] = []
 
-    def here() -> tuple[Node, bool, bool]:
-        return open_tags[-1][1:] if open_tags else (root, False, False)
+    def here() -> tuple[Node, tuple[int, ...] | None, bool]:
+        return open_tags[-1][1:] if open_tags else (root, (), False)
 
     def flush() -> None:
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             words.clear()
             node, noise, inside = here()
-            if text and not noise:
-                node.children.append(Node(f"{open_block()}/#text", text, inside))
+            if text and noise is not None:
+                node.children.append(Node(f"{open_block()}/#text", text, inside, within=noise))
 
     def open_block() -> str:
         return next((tag for tag, *_ in reversed(open_tags) if tag in BLOCK), "")
@@ -90,7 +144,7 @@ def parse(page: str) -> Node:
     def close(tags: set[str], stop: frozenset[str]) -> None:
         for i in range(len(open_tags) - 1, -1, -1):
             if open_tags[i][0] in tags:
-                before = open_tags[i - 1][2] if i else False
+                before = open_tags[i - 1][2] if i else ()
                 if any(tag in BLOCK or noise != before for tag, _, noise, _ in open_tags[i:]):
                     flush()
                 del open_tags[i:]
@@ -132,16 +186,21 @@ def parse(page: str) -> Node:
             continue
         node, noise, inside = here()
         inside = inside or tag in CONTENT
-        bad = noise or is_noise(tag, attributes, inside)
-        if bad and not noise:
+        if noise is not None and (kind := noise_of(tag, attributes, inside)):
             flush()
-        if tag in BOUNDARY and not bad:
+            kinds.append(kind)
+            noise = None if kind == "always" else (*noise, len(kinds) - 1)
+        if tag in BOUNDARY and noise is not None:
             name = next((v or w or x for k, v, w, x in ATTRIBUTE.findall(attributes) if k.lower() == "class"), "")
-            child = Node(f"{tag}.{re.sub(r'[0-9]+', '', name)}", inside=inside)
+            child = Node(f"{tag}.{re.sub(r'[0-9]+', '', name)}", inside=inside, within=noise)
             node.children.append(child)
             node = child
-        open_tags.append((tag, node, bad, inside))
+            if tag in CONTENT and not any(kinds[i] == "answers" for i in noise) and not ANSWERS.search(name_of(attributes)[1]):
+                holds.append((tag, child, noise))
+        open_tags.append((tag, node, noise, inside))
     flush()
+    if kinds:
+        drop_noise(root, kinds, holds)
     return root
 
 
