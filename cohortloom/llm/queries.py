@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import language, line_dedup, mixing, packing, page_text, sharding, simhash, token_counts, top_k, winnow
+from cohortloom.llm import language, line_dedup, mixing, packing, page_text, personal_data, sharding, simhash, token_counts, top_k, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,6 +113,14 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the digest are of base spans; ``spans`` has the disguised ones too."""
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    counts = [personal_data.count_of(kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.as_text(True), 256).alias("base_sha256"), personal_data.as_text().alias("spans"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
