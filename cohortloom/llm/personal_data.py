@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "spans"
-SPAN = StructType().add("kind", "string").add("start", "int").add("end", "int").add("base", "boolean")
+SPAN = StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("base", "boolean")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 # Possessive, so that no run is walked twice; all start with a set of characters, which is quick to look for.
