@@ -15,6 +15,9 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 RANK_BLOCKS = 4096
 
+#: Stands for a null key, after all others.
+LAST_KEY = (1 << 63) - 1
+
 
 def word_array(text: Column) -> Column:
     """Maximal runs of non-blanks; an empty array for a null or blank text."""
