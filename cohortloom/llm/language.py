@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import on_worker
-
 UNDETERMINED = "und"
 #: Bounds of the training sample: whole documents of each language, none longer than this.
 DOCS_PER_LANGUAGE, LONGEST_IN_SAMPLE = 250, 20_000
@@ -20,7 +18,7 @@ DOCS_PER_LANGUAGE, LONGEST_IN_SAMPLE = 250, 20_000
 PIECES, LEXICON = 1 << 15, 1 << 17
 WIDTH = 24
 SPAN, SEQUENCE, BATCH, STEPS, RATE = 20, 80, 48, 240, 0.08
-WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 200_000, 700_000, 512
+WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 200_000, 400_000, 256
 SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"})
 
 
@@ -190,7 +188,7 @@ def training_sample(docs: DataFrame, key: str, text: str, label: str, allowed: C
     """``text`` and ``label`` of up to ``per_language`` documents of each language, chosen by a hash of the key."""
     order = Window.partitionBy(label).orderBy("_hash", key)
     chosen = (
-        docs.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull())
+        docs.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull() & (F.char_length(text) <= longest))
         .select(key, label, F.xxhash64(key).alias("_hash"))
         .withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= per_language)
@@ -201,26 +199,24 @@ def training_sample(docs: DataFrame, key: str, text: str, label: str, allowed: C
     return rows.join(F.broadcast(chosen), key, "left_semi").select(text, label)
 
 
-def detect(
-    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
-) -> DataFrame:
-    """``keep`` columns, ``lang_pred``, ``score`` and ``n_words`` of every row.
+def detect(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """All columns of ``docs`` (or those of ``keep``) with ``lang_pred``, ``score`` and ``n_words`` of every row; columns of these names are replaced.
 
     Every word of the whole text gets a posterior over the labels; ``lang_pred`` is the label
     with the largest mean and ``score`` that mean.  A text that is null or has no letter is
     ``und`` with score 0, as is every text where no label could be learned.  Documents
-    are followed in step, longest first, so a batch takes one pass over its places.
+    are followed in step, longest first, so a batch takes one pass over its places.  Only the text goes to
+    Python; what a task has learned of words goes with the task.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("n_words", "long")
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = held.value
         n = len(model.labels)
         moves, first = model.moves.astype(np.float32), model.first.astype(np.float32)
         if n:
             moves, first = moves / moves.sum(axis=1, keepdims=True), first / first.sum()
-        kept = on_worker(f"emissions_{model.mark}", lambda: {"known": {}, "emit": np.ones((0, n), np.float32)})
+        kept = {"known": {}, "emit": np.ones((0, n), np.float32)}
 
         def encode(split: list[list[str]]) -> list[np.ndarray]:
             """Numbers of the words, under which ``kept["emit"]`` has their factors."""
@@ -252,7 +248,7 @@ def detect(
             return means
 
         for batch in batches:
-            texts = batch[text].tolist()
+            texts = batch.tolist()
             langs, score, count = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             at = 0
             while at < len(texts) and n:
@@ -272,9 +268,12 @@ def detect(
                     score[which] = np.minimum(means.max(axis=1), 1.0)
                     for i, best in zip(which, means.argmax(axis=1).tolist(), strict=True):
                         langs[i] = model.labels[best]
-            yield batch[list(keep)].assign(lang_pred=langs, score=score, n_words=count)
+            yield pd.DataFrame({"lang_pred": langs, "score": score, "n_words": count})
 
-    return docs.select(*{c: None for c in [*keep, text]}).mapInPandas(label, schema)
+    # Told not to be repeatable, so that no plan runs it twice.
+    found = F.pandas_udf(label, "lang_pred string, score double, n_words long").asNondeterministic()
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "n_words")]
+    return docs.select(*rest, found(F.col(text)).alias("_found_language")).select(*rest, "_found_language.*")
 
 
 def learn(

@@ -135,8 +135,9 @@ def mix(
     size: Column | None = None,
     weights: Sequence[float] = (5, 2, 1),
     most: int = MOST_COPIES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``key``, ``source``, ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` of every row.
+    """``key``, ``carry``, ``source``, ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` of every row.
 
     Weights go to the sources in turn, in code point order, null last (null is a source).
     Targets share the tokens of all sources and stop at ``most`` times a source's tokens.
@@ -148,7 +149,7 @@ def mix(
     size = n_words(F.col("text")) if size is None else size
     rows = cut(
         docs.select(
-            F.col(key), F.col(source).alias("source"), size.cast("long").alias("size"),
+            F.col(key), *carry, F.col(source).alias("source"), size.cast("long").alias("size"),
             F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_s"),
         )
     )
@@ -174,6 +175,6 @@ def mix(
     ).toDF("_s", "size", "source_size", "target", "rate", "_each", "_odd")
     placed = ranked(rows, ["_s", "size"], [key], "_rank", per_group=copies)
     return placed.select(
-        key, "source", "size", "source_size", "target", "rate",
+        key, *carry, "source", "size", "source_size", "target", "rate",
         (F.col("_each") + (F.col("_rank") < F.col("_odd")).cast("long")).alias("copies"),
     )

@@ -72,7 +72,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     allowed = language.allowed_to_learn("doc_id")
-    found = language.detect(documents, language.learn(documents, allowed), keep=["doc_id"])
+    found = language.detect(documents, language.learn(documents, allowed))
     return found.select("doc_id", F.coalesce(~allowed, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_words")
 
 

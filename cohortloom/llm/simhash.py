@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,19 +41,21 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``key`` and ``fp``, the fingerprint as a signed long, of every row.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, carry: Sequence[str] = ()) -> DataFrame:
+    """``key`` (if ``carry`` names no other columns, all long) and ``fp``, the fingerprint as a signed long, of every row.
 
     A to Z are lower-cased, words are runs of non-blanks.  Fewer words than a shingle are one
     shingle; without words, as with a null text, the fingerprint is 0.
     """
+    carry = list(carry) or [key]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t or "", shingle) for t in batch[text].tolist()], np.uint64).astype(np.int64)
-            yield pd.DataFrame({key: batch[key].astype("Int64"), "fp": found})
+            yield pd.DataFrame({**{c: batch[c].astype("Int64") for c in carry}, "fp": found})
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(work, f"`{key}` long, fp long")
+    types = ", ".join(f"`{c}` long" for c in carry)
+    return docs.select(*[F.col(c).cast("long").alias(c) for c in carry], text).mapInPandas(work, f"{types}, fp long")
 
 
 def _halves(fp: Column) -> Column:
@@ -185,3 +187,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     smallest = grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(key, "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, order: Sequence[str], text: str = "text") -> DataFrame:
+    """``order`` of one row of each group of near duplicates: the smallest.
+
+    ``order`` names long columns without nulls that tell all rows apart.  Groups are those of
+    ``near_duplicates``: rows of equal fingerprints are one node, however many they are.
+    """
+    marked = cut(fingerprints(docs, text=text, carry=order))
+    distinct = cut(marked.groupBy("fp").agg(F.min(F.struct(*order)).alias("first")))
+    roots = cut(components(links(distinct.select("fp"))))
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return grouped.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
