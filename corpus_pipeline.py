@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import language, line_dedup, mixing, near_copies as near, packing
+from cohortloom.llm import language, line_dedup, mixing, packing, simhash
 from cohortloom.llm.queries import tokenizer_path
 from cohortloom.plans.lineage import cut
 
@@ -21,7 +22,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The label ``lang`` is kept as it is; it is learned from, not judged.
     """
     model = language.learn(docs, language.allowed_to_learn("doc_id"))
-    found = language.detect(docs, model, keep=DOCUMENT)
+    found = language.detect(docs.select(*DOCUMENT), model)
     sure = F.col("score") >= LEAST_TIMES_CHANCE / max(len(model.labels), 2)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & sure).select(*DOCUMENT)
 
@@ -33,20 +34,36 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT)
 
 
+#: Columns that tell all rows apart: content first, so that which of several rows is meant does not hang on files.
+ROW = ["_content", "_also", "_file", "_row"]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with two hashes of their content and their place in the stored table, which survives a second read."""
+    try:
+        placed = docs.select(*DOCUMENT, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # no stored table
+        return numbered(cut(docs.select(*DOCUMENT)))
+    return placed.withColumns({"_content": F.xxhash64(*DOCUMENT), "_also": F.xxhash64(F.lit(1), *DOCUMENT)})
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (five-word shingles, similarity 0.8), the one with the smallest id.
+    """One row of each group of near duplicates, by the rule of ``op3_simhash``: the one with the smallest id.
 
-    Groups are of texts: rows without an id, or with an id that others have, go only if their text has a near copy.
+    Null ids come last; rows of one id go by their content, and rows that are equal in all columns are one group.
     """
-    return near.first_of_each(docs.select(*DOCUMENT))
+    rows = numbered(docs)
+    ranks = {"_null": F.col("doc_id").isNull().cast("long"), "_id": F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))}
+    stays = cut(simhash.first_of_each(rows.withColumns(ranks), ["_null", "_id", *ROW]))
+    return rows.join(stays.select("_file", "_row"), ["_file", "_row"], "left_semi").select(*DOCUMENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; rows are known by their hash, as ids may be null or repeat, and equal rows are counted together."""
-    rows = docs.select(*DOCUMENT, F.xxhash64(*DOCUMENT).alias("_row"))
-    copies = mixing.mix(rows, key="_row").groupBy("_row").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    taken = rows.dropDuplicates(["_row"]).join(copies, "_row")
-    return taken.select(*DOCUMENT, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*DOCUMENT)
+    """Every document as often as the mix takes it; of rows with equal content any may get the odd copy."""
+    rows = numbered(docs).withColumn("_key", F.struct("_content", "_also"))
+    copies = mixing.mix(rows, key="_key", carry=["_file", "_row"]).where("copies > 0").select("_file", "_row", "copies")
+    taken = rows.join(copies, ["_file", "_row"])
+    return taken.select(*DOCUMENT, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*DOCUMENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
