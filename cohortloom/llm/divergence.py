@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.plans.joins import counted_bound, lookup_join
+from cohortloom.plans.joins import counted_bound, fits_broadcast, lookup_join
 from cohortloom.plans.lineage import cut
 
 #: A term is kept if at least so many documents of its language hold it.
@@ -100,24 +100,18 @@ def _np_share(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
 def groups_of(docs: DataFrame, kept: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Every occurring (lang, source), terms or not, with its place in the language and what its shares need.
 
-    ``n`` is its sum over kept terms, ``v`` the language's number of kept terms, ``lang_sum`` its
-    sum, ``p0`` the share of a term it lacks, ``sizes`` how many of its terms occur how often.
+    ``n`` is its sum over kept terms, ``held`` their number, ``v`` the language's number of kept
+    terms, ``lang_sum`` its sum, ``p0`` the share of a term the group lacks (null without kept terms).
     """
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))])
     # Row numbers need one window over the sources of a language: groups, not rows.
     groups = named.distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    often = kept.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("m"))
-    sums = often.groupBy("lang", "source").agg(
-        F.sum(F.col("n") * F.col("m")).alias("n"), F.sum("m").alias("held"), F.collect_list(F.struct("n", "m")).alias("sizes")
-    )
-    # A term counts once: where its first source (by name) holds it.
+    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held"))
     words = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_sum"))
     out = groups.join(sums, ["lang", "source"], "left").join(words, "lang", "left")
     zero = F.lit(0).cast("long")
     out = out.withColumns({c: F.coalesce(c, zero) for c in ("n", "held", "v", "lang_sum")})
-    return out.withColumns(
-        {"sizes": F.coalesce("sizes", F.array().cast("array<struct<n:bigint,m:bigint>>")), "p0": F.when(F.col("v") > 0, share(zero, F.col("n") + F.col("v")))}
-    )
+    return out.withColumn("p0", F.when(F.col("v") > 0, share(zero, F.col("n") + F.col("v"))))
 
 
 def shared_terms(kept: DataFrame, groups: DataFrame, bound: int | None, tile: int = TILE) -> DataFrame:
@@ -175,25 +169,34 @@ def shared_terms(kept: DataFrame, groups: DataFrame, bound: int | None, tile: in
     return found.groupBy("lang", "place", "other").agg(F.sum("value").alias("value"))
 
 
-def _pair_values(groups: DataFrame, shared: DataFrame) -> DataFrame:
+def _pair_values(kept: DataFrame, groups: DataFrame, shared: DataFrame, bound: int | None) -> DataFrame:
     """Value of every ordered pair of sources of a language.
 
-    Only sums over what each source holds are needed: terms that one of the two lacks
-    enter by how often a count occurs, terms that both lack by their number.
+    Only sums over what each source holds are needed: terms that one of the two lacks enter by how
+    many of them occur how often, terms that both lack by their number.
     """
-    mine = groups.select("lang", "source", "place", "n", "v", "held", "p0", "sizes")
-    theirs = mine.select("lang", *[F.col(c).alias(f"other_{c}") for c in ("source", "place", "n", "held", "p0", "sizes")])
-    pairs = mine.join(theirs, "lang").where(F.col("place") != F.col("other_place"))
-    shared = shared.withColumnsRenamed({"other": "other_place", "value": "both"})
-    zero = F.lit(0).cast("long")
-    whole, other_whole = F.col("n") + F.col("v"), F.col("other_n") + F.col("v")
-    p0, q0 = F.col("p0"), F.col("other_p0")
-    own = F.aggregate("sizes", zero, lambda acc, s: acc + s["m"] * excess(share(s["n"], whole), q0))
-    lacking = F.aggregate("other_sizes", zero, lambda acc, s: acc + s["m"] * excess(p0, share(s["n"], other_whole)))
-    neither = (F.col("v") - F.col("held") - F.col("other_held")) * excess(p0, q0)
-    value = F.when(F.col("v") > 0, own + lacking + neither + F.coalesce("both", zero)).otherwise(zero)
-    out = pairs.join(shared, ["lang", "place", "other_place"], "left")
-    return out.select("lang", "source", F.lit("pair").alias("part"), F.col("other_source").alias("item"), value.alias("value"))
+    side = groups.select("lang", "place", "source", "v", "held", "p0", (F.col("n") + F.col("v")).alias("whole"))
+    other = side.select("lang", F.col("place").alias("other"), F.col("source").alias("item"), F.col("held").alias("other_held"), F.col("p0").alias("q0"))
+    other = F.broadcast(other) if fits_broadcast(bound) else other
+    apart = F.col("place") != F.col("other")
+    neither = F.coalesce((F.col("v") - F.col("held") - F.col("other_held")) * excess(F.col("p0"), F.col("q0")), F.lit(0).cast("long"))
+    every = side.join(other, "lang").where(apart).select("lang", "place", "other", "source", "item", neither.alias("value"))
+    often = kept.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("m"))
+    rows = lookup_join(often, side.select("lang", "source", "place", "whole"), ["lang", "source"], bound, "inner")
+    rows = rows.select("lang", "place", "m", share(F.col("n"), F.col("whole")).alias("p")).join(other, "lang").where(apart)
+    sums = rows.groupBy("lang", "place", "other").agg(
+        F.sum(F.col("m") * excess(F.col("p"), F.col("q0"))).alias("own"), F.sum(F.col("m") * excess(F.col("q0"), F.col("p"))).alias("lacking")
+    )
+    none = F.lit(None).cast("string")
+    parts = sums.select("lang", F.inline(F.array(
+        F.struct("place", F.col("other").alias("other"), none.alias("source"), none.alias("item"), F.col("own").alias("value")),
+        F.struct(F.col("other").alias("place"), F.col("place").alias("other"), none.alias("source"), none.alias("item"), F.col("lacking").alias("value")),
+    )))
+    both = shared.select("lang", "place", "other", none.alias("source"), none.alias("item"), "value")
+    summed = every.unionByName(parts).unionByName(both).groupBy("lang", "place", "other").agg(
+        F.max("source").alias("source"), F.max("item").alias("item"), F.sum("value").alias("value")
+    )
+    return summed.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
 
 def audit(
@@ -210,7 +213,7 @@ def audit(
     kept = cut(group_sums(document_vectors(docs, lang, source, text), least_documents))
     groups = cut(groups_of(docs, kept, lang, source))
     bound = counted_bound(groups.select("place"))
-    pairs = _pair_values(groups, shared_terms(kept, groups, bound, tile))
+    pairs = _pair_values(kept, groups, shared_terms(kept, groups, bound, tile), bound)
     sides = groups.select("lang", "source", (F.col("n") + F.col("v")).alias("whole"), (F.col("lang_sum") + F.col("v")).alias("lang_whole"))
     valued = lookup_join(kept, sides, ["lang", "source"], bound, "inner").withColumns(
         {"p": share(F.col("n"), F.col("whole")), "q": share(F.col("lang_n"), F.col("lang_whole"))}
