@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Sequence
@@ -68,3 +70,19 @@ def on_worker(name: str, make):
         kept.name = kept.what = None
         kept.what, kept.name = make(), name
     return kept.what
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live on after a task, beside the executor's heap."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def let_go() -> None:
+    """Drop what ``on_worker`` keeps.  For operators that keep nothing and need the room."""
+    kept = sys.modules.get("_kept_on_worker")
+    if kept is not None and getattr(kept, "name", None) is not None:
+        kept.name = kept.what = None
+        give_back()

@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.llm.common import give_back, let_go
+
 UNDETERMINED = "und"
 #: Bounds of the training sample: whole documents of each language, none longer than this.
 DOCS_PER_LANGUAGE, LONGEST_IN_SAMPLE = 250, 20_000
@@ -18,7 +20,7 @@ DOCS_PER_LANGUAGE, LONGEST_IN_SAMPLE = 250, 20_000
 PIECES, LEXICON = 1 << 15, 1 << 17
 WIDTH = 24
 SPAN, SEQUENCE, BATCH, STEPS, RATE = 20, 80, 48, 240, 0.08
-WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 200_000, 400_000, 256
+WORDS_KEPT, WORDS_AT_ONCE, DOCS_AT_ONCE = 100_000, 250_000, 128
 SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"})
 
 
@@ -210,7 +212,8 @@ def detect(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         model = held.value
         n = len(model.labels)
         moves, first = model.moves.astype(np.float32), model.first.astype(np.float32)
@@ -248,16 +251,15 @@ def detect(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str
             return means
 
         for batch in batches:
-            texts = batch.tolist()
-            langs, score, count = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            langs, score, count = [UNDETERMINED] * len(batch), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             at = 0
-            while at < len(texts) and n:
+            while at < len(batch) and n:
                 if len(kept["known"]) > WORDS_KEPT:
                     kept.update(known={}, emit=np.ones((0, n), np.float32))
                 which, coded, total = [], [], 0
-                while at < len(texts) and total < WORDS_AT_ONCE:
-                    some = range(at, min(len(texts), at + DOCS_AT_ONCE))
-                    split = [words_of(texts[i]) if texts[i] and has_letter(texts[i]) else [] for i in some]
+                while at < len(batch) and total < WORDS_AT_ONCE:
+                    some = range(at, min(len(batch), at + DOCS_AT_ONCE))
+                    split = [words_of(t) if t and has_letter(t) else [] for t in batch.slice(at, len(some)).to_pylist()]
                     which += [i for i, words in zip(some, split, strict=True) if words]
                     coded += encode([words for words in split if words])
                     total += sum(map(len, split))
@@ -268,10 +270,12 @@ def detect(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str
                     score[which] = np.minimum(means.max(axis=1), 1.0)
                     for i, best in zip(which, means.argmax(axis=1).tolist(), strict=True):
                         langs[i] = model.labels[best]
-            yield pd.DataFrame({"lang_pred": langs, "score": score, "n_words": count})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(count)], ["lang_pred", "score", "n_words"])
+        kept.clear()
+        give_back()
 
     # Told not to be repeatable, so that no plan runs it twice.
-    found = F.pandas_udf(label, "lang_pred string, score double, n_words long").asNondeterministic()
+    found = F.arrow_udf(label, "lang_pred string, score double, n_words long").asNondeterministic()
     rest = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "n_words")]
     return docs.select(*rest, found(F.col(text)).alias("_found_language")).select(*rest, "_found_language.*")
 

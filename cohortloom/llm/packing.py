@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import on_worker, ranked
+from cohortloom.llm.common import give_back, on_worker, ranked
 from cohortloom.plans.lineage import cut
 
 ROOM = 2048
@@ -116,6 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str, text: str, room: int
                         part = ids[start : start + 4 * room]
                         rows.append((k, i, start // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"]).astype({key: "Int64"})
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(
         cut_up, f"`{key}` long, piece int, start long, length long, ids_crc32 long"

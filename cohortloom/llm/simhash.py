@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.common import give_back, let_go
 from cohortloom.plans.lineage import cut
 
 SHINGLE = 3
@@ -17,7 +19,7 @@ SEED = 42
 #: Cells of more members than this are linked by a tree each, and beyond the second number through hubs.
 PAIRED, TREED = 64, 20_000
 LOW_HALF, ODD_BITS = 0xFFFFFFFF, 0x5555555555555555
-HASHES_AT_ONCE = 1 << 16
+HASHES_AT_ONCE, TEXTS_AT_ONCE = 1 << 16, 128
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -49,13 +51,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     """
     carry = list(carry) or [key]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            found = np.array([fingerprint(t or "", shingle) for t in batch[text].tolist()], np.uint64).astype(np.int64)
-            yield pd.DataFrame({**{c: batch[c].astype("Int64") for c in carry}, "fp": found})
+            texts = batch.column(len(carry))
+            parts = range(0, len(texts), TEXTS_AT_ONCE)
+            found = np.array([fingerprint(t or "", shingle) for at in parts for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found, pa.int64())], names=[*carry, "fp"])
+        give_back()
 
     types = ", ".join(f"`{c}` long" for c in carry)
-    return docs.select(*[F.col(c).cast("long").alias(c) for c in carry], text).mapInPandas(work, f"{types}, fp long")
+    return docs.select(*[F.col(c).cast("long").alias(c) for c in carry], F.col(text).alias("_text")).mapInArrow(work, f"{types}, fp long")
 
 
 def _halves(fp: Column) -> Column:
