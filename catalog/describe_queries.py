@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import r6, rounded, sql, sql_with, text_date
+from catalog.base import SQL_COHORT, r6, rounded, sql, sql_with, text_date
 from cohortloom.functions import fixed_values as fixed
 from cohortloom.operators import associate, describe, shape
 from cohortloom.plans import event_cohort as ec
@@ -172,6 +172,22 @@ def subject_trend(spark, sf_dir):
     )
 
 
+def _random_intercept(spark, sf_dir, **options):
+    long = shape.to_long(_gappy(spark, sf_dir), DAY, MEASURES)
+    out = associate.random_intercept(long, "subject_id", "subject_day", "measure", "value", **options)
+    return rounded(out, *[c for c in out.columns if c not in ("measure", "n", "subjects", *([] if options else ["level"]))])
+
+
+def random_intercept(spark, sf_dir):
+    """measure ~ 0 + day + (1 | subject)"""
+    return _random_intercept(spark, sf_dir)
+
+
+def random_intercept_common_level(spark, sf_dir):
+    """measure ~ 1 + day + (1 | subject)"""
+    return _random_intercept(spark, sf_dir, intercept=True)
+
+
 def affine_fit(spark, sf_dir):
     df = shape.censor_at_first(_gappy(spark, sf_dir), "subject_id", "date", "first_confirmed")
     out = associate.affine_fit(shape.zscore(df, ["max_read_prop"]), "max_read_prop", "max_read_prop_scaled")
@@ -200,6 +216,8 @@ QUERIES = {
     "correlate_by_stratum": correlate_by_stratum,
     "correlate_by_stratum_table_means": correlate_by_stratum_table_means,
     "subject_trend": subject_trend,
+    "random_intercept": random_intercept,
+    "random_intercept_common_level": random_intercept_common_level,
     "affine_fit": affine_fit,
 }
 
@@ -374,7 +392,51 @@ SELECT variable, n, df, round(chi_square, 6) AS chi_square, round(min_expected,
 FROM ({raw})"""
 
 
+def _random_intercept_sql(level):
+    """The profile likelihood over subjects themselves, its derivative halved in a recursive query."""
+    c = "(lam / (1 + lam * n))"
+
+    def fit(rows, keys):
+        sums = f"""SELECT {keys}, sum(n) AS nt, sum(xx - {c} * x * x) AS axx, sum(xy - {c} * x * y) AS axy, sum(yy - {c} * y * y) AS ayy,
+          sum(n - {c} * n * n) AS ann, sum(x - {c} * n * x) AS ax, sum(y - {c} * n * y) AS ay FROM {rows} GROUP BY {keys}"""
+        if not level:
+            return f"SELECT *, axx AS info, axy / axx AS b, 0.0::DOUBLE AS a, ayy - axy / axx * axy AS rss FROM ({sums})"
+        return f"""SELECT *, ayy - b * axy - a * ay AS rss FROM (SELECT *, (ay - b * ax) / ann AS a FROM (
+          SELECT *, axx - ax * ax / ann AS info, (axy - ax * ay / ann) / (axx - ax * ax / ann) AS b FROM ({sums})))"""
+
+    def slope(table, keys):
+        fitted = fit(f"(SELECT * FROM {table} JOIN per USING (measure))", keys)
+        return f"""SELECT {keys}, sum(n / (1 + lam * n)) - any_value(nt) * sum((y - b * x - a * n) ** 2 / (1 + lam * n) ** 2) / any_value(rss) AS d
+          FROM ({fitted}) JOIN per USING (measure) GROUP BY {keys}"""
+
+    found = "round(a, 6) + 0.0" if level else "CAST(NULL AS DOUBLE)"
+    return (
+        SQL_COHORT.replace("WITH", "WITH RECURSIVE", 1) + ",\n" + _LONG + f""",
+per AS MATERIALIZED (
+  SELECT measure, subject_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(subject_day) AS DOUBLE) AS x, sum(value) AS y,
+         CAST(sum(subject_day * subject_day) AS DOUBLE) AS xx, sum(subject_day * value) AS xy, sum(value * value) AS yy FROM long_rows GROUP BY 1, 2),
+zero AS (SELECT DISTINCT measure, 0.0::DOUBLE AS lam FROM per),
+at_zero AS ({slope("zero", "measure, lam")}),
+halving AS (
+  SELECT measure, 0 AS i, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi FROM zero
+  UNION ALL
+  SELECT measure, i + 1, CASE WHEN d < 0 THEN mid ELSE lo END, CASE WHEN d < 0 THEN hi ELSE mid END FROM (
+    {slope("(SELECT *, (lo + hi) / 2 AS mid, exp((lo + hi) / 2) AS lam FROM halving WHERE i < 110)", "measure, i, lo, hi, mid, lam")})),
+chosen AS (
+  SELECT measure, CASE WHEN d < 0 THEN exp((lo + hi) / 2) ELSE 0.0 END AS lam FROM halving JOIN at_zero USING (measure) WHERE i = 110),
+fitted AS ({fit("(SELECT * FROM chosen JOIN per USING (measure))", "measure, lam")}),
+extra AS (SELECT measure, count(*) AS subjects, sum(ln(1 + lam * n)) AS spread FROM chosen JOIN per USING (measure) GROUP BY 1)
+SELECT measure, CAST(nt AS BIGINT) AS n, subjects, round(b, 6) + 0.0 AS slope, round(sqrt(rss / nt / info), 6) AS std_error,
+       round(b - 1.959963984540054 * sqrt(rss / nt / info), 6) + 0.0 AS lower, round(b + 1.959963984540054 * sqrt(rss / nt / info), 6) + 0.0 AS upper,
+       {found} AS level, round(sqrt(lam * rss / nt), 6) AS sd_subject, round(sqrt(rss / nt), 6) AS sd_residual,
+       round(nt * (ln(2 * pi() * rss / nt) + 1) + spread, 6) AS minus_2_loglik
+FROM fitted JOIN extra USING (measure)"""
+    )
+
+
 ORACLE = {
+    "random_intercept": _random_intercept_sql(False),
+    "random_intercept_common_level": _random_intercept_sql(True),
     "first_event_rollup": sql_with(_ROLLUP, "SELECT * FROM rollup_rows"),
     "definition_prevalence": sql_with(_DEFINITIONS, "SELECT definition, occurred, count(*) AS subjects FROM definitions GROUP BY 1, 2"),
     "time_to_event_summary": sql_with(

@@ -497,13 +497,8 @@ scores AS (
          ln(avg(exp(l))) - var_samp(l) AS elpd_waic FROM ll GROUP BY 1, 2, 3)"""
 
 
-def newton_many(counts, keys, xs, rounds=14):
-    """CTEs ``fit`` (keys, b0.., se0..): Newton on ``counts`` (keys, xs, n, e); the systems are solved by their LDL' factors."""
-    ks, m = ", ".join(keys), len(xs)
-    eta = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
-    betas = ", ".join(f"b{i}" for i in range(m))
-    sums = [f"sum({xs[i]} * (e - n * p)) - 1e-3 * b{i} AS g{i}" for i in range(m)]
-    sums += [f"sum({xs[i]} * {xs[j]} * n * p * (1 - p)){' + 1e-3' if i == j else ''} AS h{i}_{j}" for i in range(m) for j in range(i + 1)]
+def ldl_steps(m):
+    """Nested columns that solve the system of h0_0.. and g0.. for s0.. by its LDL' factors, with se0.. from the diagonal of the inverse."""
     steps = []
     for j in range(m):
         steps.append([f"h{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f" AS d{j}"])
@@ -516,6 +511,17 @@ def newton_many(counts, keys, xs, rounds=14):
         for j in reversed(range(i)):
             steps.append([f"-(l{i}_{j}" + "".join(f" + l{i}_{k} * v{k}_{j}" for k in range(j + 1, i)) + f") AS v{i}_{j}"])
     steps.append([f"sqrt(1 / d{i}" + "".join(f" + v{k}_{i} * v{k}_{i} / d{k}" for k in range(i + 1, m)) + f") AS se{i}" for i in range(m)])
+    return steps
+
+
+def newton_many(counts, keys, xs, rounds=14):
+    """CTEs ``fit`` (keys, b0.., se0..): Newton on ``counts`` (keys, xs, n, e); the systems are solved by their LDL' factors."""
+    ks, m = ", ".join(keys), len(xs)
+    eta = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+    betas = ", ".join(f"b{i}" for i in range(m))
+    sums = [f"sum({xs[i]} * (e - n * p)) - 1e-3 * b{i} AS g{i}" for i in range(m)]
+    sums += [f"sum({xs[i]} * {xs[j]} * n * p * (1 - p)){' + 1e-3' if i == j else ''} AS h{i}_{j}" for i in range(m) for j in range(i + 1)]
+    steps = ldl_steps(m)
     steps.append(["least(1.0, 4.0 / greatest(" + ", ".join(f"abs(s{i})" for i in range(m)) + ", 1e-300)) AS scale"])
     parts = [f"it0 AS (SELECT DISTINCT {ks}, " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(m)) + f" FROM {counts})"]
     for t in range(1, rounds + 1):

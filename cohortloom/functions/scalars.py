@@ -92,6 +92,13 @@ def unit_hash(seed: int, *cols: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def normal_hash(seed: int, *cols: str | Column) -> Column:
+    """Standard normal number that depends only on the seed and the column values."""
+    first, second = unit_hash(seed, *cols, F.lit("a")), unit_hash(seed, *cols, F.lit("b"))
+    half = F.lit(0.5 / 4294967296.0)
+    return F.sqrt(F.lit(-2.0) * F.ln(first + half)) * F.cos(F.lit(2.0 * math.pi) * second)
+
+
 def poisson_one_cuts() -> list[float]:
     """Cumulative probabilities of Poisson(1), up to the resolution of ``unit_hash``."""
     cuts, term, total, k = [], math.exp(-1.0), 0.0, 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -126,3 +127,111 @@ def affine_fit(df: DataFrame, y: str, x: str) -> DataFrame:
         F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
         F.regr_slope(F.col(y), F.col(x)).alias("slope"),
     )
+
+
+def _fold(rows: Column, term) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda acc, g: acc + term(g))
+
+
+def _gls(rows: Column, totals: Column, lam: Column, intercept: bool) -> dict[str, Column]:
+    """Generalised least squares at a variance ratio, from sums of subjects of equal size.
+
+    A subject's inverse covariance is the identity less c = lam / (1 + lam n) in every cell, so its
+    part of each cross product is the raw one less c times the product of its sums.
+    """
+
+    def less(name: str) -> Column:
+        return _fold(rows, lambda g: g[name] * lam / (1.0 + lam * g["n"]))
+
+    xx, xy, yy = (totals[c] - less(f"s{c}") for c in ("xx", "xy", "yy"))
+    if not intercept:
+        slope = F.try_divide(xy, xx)
+        return {"slope": slope, "level": F.lit(0.0), "information": xx, "rss": yy - slope * xy}
+    # Each c n m, c n x and c n y of the intercept's own cross products.
+    nn = totals["n"] - _fold(rows, lambda g: g["m"] * g["n"] * g["n"] * lam / (1.0 + lam * g["n"]))
+    x1 = totals["x"] - _fold(rows, lambda g: g["n"] * g["sx"] * lam / (1.0 + lam * g["n"]))
+    y1 = totals["y"] - _fold(rows, lambda g: g["n"] * g["sy"] * lam / (1.0 + lam * g["n"]))
+    information = xx - x1 * x1 / nn
+    slope = F.try_divide(xy - x1 * y1 / nn, information)
+    level = (y1 - slope * x1) / nn
+    return {"slope": slope, "level": level, "information": information, "rss": yy - slope * xy - level * y1}
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _profile_slope(rows: Column, totals: Column, lam: Column, intercept: bool) -> Column:
+    """Derivative of -2 log profile likelihood by the variance ratio."""
+    fit = _gls(rows, totals, lam, intercept)
+
+    def total(f: Column) -> Column:
+        a, b = f["level"], f["slope"]
+
+        def squares(g: Column) -> Column:
+            own = g["syy"] - 2.0 * b * g["sxy"] + b * b * g["sxx"]
+            own = own - 2.0 * a * g["n"] * (g["sy"] - b * g["sx"]) + a * a * g["n"] * g["n"] * g["m"]
+            return own / ((1.0 + lam * g["n"]) * (1.0 + lam * g["n"]))
+
+        spread = _fold(rows, lambda g: g["m"] * g["n"] / (1.0 + lam * g["n"]))
+        return spread - F.try_divide(totals["n"] * _fold(rows, squares), f["rss"])
+
+    return _bound(F.struct(*[c.alias(n) for n, c in fit.items()]), total)
+
+
+def random_intercept(
+    long: DataFrame, subject: str, day: str, measure: str, value: str, intercept: bool = False, rounds: int = 110
+) -> DataFrame:
+    """``value ~ day + (1 | subject)`` by maximum likelihood for every measure; ``intercept`` adds a common one.
+
+    ``n``, ``subjects``, ``slope``, ``std_error``, ``lower``, ``upper``, ``level`` (null without a common intercept),
+    ``sd_subject``, ``sd_residual`` and ``minus_2_loglik`` per measure.
+
+    A subject counts through its number of rows and its sums alone, and subjects of equal size
+    through sums over them, so what a measure is fitted from is one array as long as there are different sizes.  The ratio
+    of the variances is where the derivative of the profile likelihood changes sign, by halving its
+    logarithm's range; it is 0 where the likelihood falls from there.  Rows without day or value are
+    left out; a missing subject is a subject like others.  Slope and error are null where nothing varies.
+    """
+    x, y = F.col(day).cast("double"), F.col(value).cast("double")
+    rows = long.where(x.isNotNull() & y.isNotNull()).groupBy(measure, subject)
+    per_subject = rows.agg(
+        F.count("*").cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"),
+        F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"),
+    )
+    raw = ["x", "y", "xx", "xy", "yy"]
+    by_size = per_subject.groupBy(measure, "n").agg(
+        F.count("*").cast("double").alias("m"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+        F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("y") * F.col("y")).alias("syy"),
+        *[F.sum(c).alias(c) for c in raw],
+    )
+    entry = F.struct("n", "m", "sx", "sy", "sxx", "sxy", "syy")
+    whole = F.struct(F.sum(F.col("n") * F.col("m")).alias("n"), F.sum("m").alias("m"), *[F.sum(c).alias(c) for c in raw])
+    gathered = by_size.groupBy(measure).agg(F.array_sort(F.collect_list(entry)).alias("_g"), whole.alias("_t"))
+    g, t = F.col("_g"), F.col("_t")
+
+    def halve(s: Column, _: Column) -> Column:
+        def narrowed(mid: Column) -> Column:
+            falls = _profile_slope(g, t, F.exp(mid), intercept) < 0
+            return F.struct(F.when(falls, mid).otherwise(s["lo"]).alias("lo"), F.when(falls, s["hi"]).otherwise(mid).alias("hi"))
+
+        return _bound((s["lo"] + s["hi"]) / 2.0, narrowed)
+
+    start = F.struct(F.lit(-40.0).alias("lo"), F.lit(40.0).alias("hi"))
+    # Halving is a fold over round numbers.
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, i: halve(s, i), lambda s: F.exp((s["lo"] + s["hi"]) / 2.0))
+    at_zero = _profile_slope(g, t, F.lit(0.0), intercept)
+    ratio = F.when(at_zero < 0, steps).otherwise(0.0)
+    solved = gathered.withColumn("_lam", ratio)
+    fit = F.struct(*[c.alias(n) for n, c in _gls(g, t, F.col("_lam"), intercept).items()])
+    done = solved.withColumn("_f", fit).withColumn("_s2", F.greatest(F.col("_f.rss"), F.lit(0.0)) / t["n"])
+    spread = _fold(g, lambda r: r["m"] * F.log1p(F.col("_lam") * r["n"]))
+    slope, error = F.col("_f.slope"), F.try_divide(F.sqrt("_s2"), F.sqrt("_f.information"))
+    minus2 = t["n"] * (F.log(2.0 * math.pi * F.col("_s2")) + 1.0) + spread
+    return done.select(
+        measure, t["n"].cast("long").alias("n"), t["m"].cast("long").alias("subjects"), slope.alias("slope"), error.alias("std_error"),
+        (slope - NORMAL_975 * error).alias("lower"), (slope + NORMAL_975 * error).alias("upper"),
+        (F.col("_f.level") if intercept else F.lit(None).cast("double")).alias("level"),
+        F.sqrt(F.col("_lam") * F.col("_s2")).alias("sd_subject"), F.sqrt("_s2").alias("sd_residual"), minus2.alias("minus_2_loglik"),
+    )

@@ -296,13 +296,84 @@ def pointwise_scores(arrays: DataFrame) -> DataFrame:
     scored = scored.withColumns(
         {
             "lpd": F.col("_top") + F.log(total(lambda v: F.exp(v - F.col("_top"))) / F.col("_s")),
-            "p_waic": total(lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))) / (F.col("_s") - 1),
+            "p_waic": F.try_divide(total(lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))), F.col("_s") - 1),
             "elpd_loo": F.log(F.col("_s")) + F.col("_low") - F.log(total(lambda v: F.exp(F.col("_low") - v))),
         }
     )
     return scored.withColumn("elpd_waic", F.col("lpd") - F.col("p_waic")).drop("loglik", "_s", "_top", "_low", "_mean")
 
 
+#: Least number of values in a tail that is smoothed, and weight and centre of the weak prior on its shape.
+LEAST_TAIL, SHAPE_WEIGHT, SHAPE_CENTRE = 5, 10.0, 0.5
+
+
+def _mean(values: Column, f) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + f(v)), F.size(values))
+
+
+def smoothed_scores(arrays: DataFrame) -> DataFrame:
+    """``pointwise_scores`` with the tail of the importance weights smoothed, and ``pareto_k``, the shape of that tail.
+
+    The largest min(S / 5, 3 sqrt(S)) of an observation's S weights are replaced by the middle quantiles of a
+    generalised Pareto distribution fitted to them (Zhang and Stephens's mean over a grid of scales, with a
+    weak prior on the shape), and no weight exceeds the largest raw one.  ``pareto_k`` above 0.7 says that
+    the observation's score is unreliable.  It is null where nothing is smoothed: with fewer than ``LEAST_TAIL`` values in the
+    tail, or where a quarter of the tail does not exceed the rest.  Everything is an expression over the array of one row.
+    """
+    size = F.size("loglik")
+    rows = arrays.withColumns(
+        {
+            "_low": F.array_min("loglik"),
+            # Log weights, ascending; the largest is 0.
+            "_w": F.array_sort(F.transform("loglik", lambda v: F.array_min("loglik") - v)),
+            "_m": F.least(F.floor(size / 5.0), F.ceil(3.0 * F.sqrt(size.cast("double")))).cast("int"),
+        }
+    )
+    rows = rows.withColumns({"_rest": F.slice("_w", F.lit(1), size - F.col("_m")), "_tail": F.slice("_w", size - F.col("_m") + 1, F.col("_m"))})
+    rows = rows.withColumn("_cut", F.exp(F.try_element_at("_rest", F.lit(-1))))
+    rows = rows.withColumn("_x", F.transform("_tail", lambda v: F.exp(v) - F.col("_cut")))
+    n = F.size("_x").cast("double")
+    quarter = F.get("_x", (F.floor(n / 4.0 + 0.5) - 1).cast("int"))
+    rows = rows.withColumns({"_quarter": quarter, "_largest": F.try_element_at("_x", F.lit(-1))})
+    smooth = (F.col("_m") >= LEAST_TAIL) & (F.col("_quarter") > 0)
+    points = F.floor(30.0 + F.sqrt(n))
+
+    def scale(j: Column) -> Column:
+        return (1.0 - F.sqrt(points / (j - 0.5))) / (3.0 * F.col("_quarter")) + 1.0 / F.col("_largest")
+
+    def shape(b: Column) -> Column:
+        return _mean(F.col("_x"), lambda v: F.log1p(-b * v))
+
+    def fitted(b: Column) -> Column:
+        with_shape = F.transform(F.array(shape(b)), lambda k: F.struct(b.alias("b"), (n * (F.log(F.try_divide(-b, k)) - k - 1.0)).alias("l")))
+        return with_shape[0]
+
+    grid = F.transform(F.transform(F.sequence(F.lit(1), points.cast("int")), scale), fitted)
+    rows = rows.withColumn("_grid", F.when(smooth, grid))
+    rows = rows.withColumn("_top", F.array_max(F.transform("_grid", lambda g: g["l"])))
+
+    def weighed(f) -> Column:
+        return F.aggregate("_grid", F.lit(0.0), lambda acc, g: acc + F.exp(g["l"] - F.col("_top")) * f(g))
+
+    rows = rows.withColumn("_b", weighed(lambda g: g["b"]) / weighed(lambda g: F.lit(1.0)))
+    rows = rows.withColumn("_raw_k", shape(F.col("_b")))
+    k = (F.col("_raw_k") * n + SHAPE_WEIGHT * SHAPE_CENTRE) / (n + SHAPE_WEIGHT)
+    rows = rows.withColumns({"_k": k, "_sigma": F.try_divide(-F.col("_raw_k"), F.col("_b"))})
+
+    def quantile(_: Column, i: Column) -> Column:
+        above = F.col("_sigma") * F.try_divide(F.expm1(-F.col("_k") * F.log1p(-(i + 0.5) / n)), F.col("_k"))
+        return F.least(F.log(above + F.col("_cut")), F.lit(0.0))
+
+    rows = rows.withColumn("_new", F.when(F.col("_k").isNull() | F.isnan("_k"), F.col("_w")).otherwise(F.concat("_rest", F.transform("_tail", quantile))))
+    total = F.aggregate("_new", F.lit(0.0), lambda acc, w: acc + F.exp(w))
+    # A draw's likelihood is exp(low - w) for its raw log weight w.
+    both = F.zip_with("_new", "_w", lambda new, w: F.exp(new - w))
+    scored = F.col("_low") + F.log(F.aggregate(both, F.lit(0.0), lambda acc, v: acc + v) / total)
+    helpers = [c for c in rows.columns if c not in arrays.columns]
+    found = rows.withColumns({"_loo": scored, "pareto_k": F.when(~F.isnan("_k"), F.col("_k"))}).drop(*helpers)
+    return pointwise_scores(found).withColumn("elpd_loo", F.col("_loo")).drop("_loo")
+
+
 def compare_models(scores: DataFrame, model: str, obs: Sequence[str], criterion: str = "elpd_loo") -> DataFrame:
     """Rank models by summed ``criterion`` and compare each with the best, observation by observation.
 
