@@ -165,6 +165,29 @@ def correlate_by_stratum_table_means(spark, sf_dir):
     return _correlate_by(spark, sf_dir, "table")
 
 
+def _suppliers(spark, sf_dir):
+    """Suppliers of five groups of nations: their balance, whether it is high, and whether their nation's number is even."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return supplier.select(
+        F.concat(F.lit("g"), F.floor(F.col("s_nationkey") / 5).cast("string")).alias("variable"), F.col("s_acctbal").alias("value"),
+        F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd").alias("arm"), F.col("s_nationkey").cast("string").alias("nation"),
+        F.when(F.col("s_acctbal") > 4500, "high").otherwise("low").alias("balance"),
+    )
+
+
+def rank_sum_exact(spark, sf_dir):
+    """Exact p-values of small groups without ties."""
+    out = describe.rank_sum_exact(_suppliers(spark, sf_dir), "variable", "value", "arm", "even", "odd", 5)
+    return rounded(out, "u", "z", "p")
+
+
+def contingency_exact(spark, sf_dir):
+    """Nations by balance: tables of up to five rows with few suppliers in each."""
+    out = describe.contingency_exact(_suppliers(spark, sf_dir), "variable", "nation", "balance")
+    out = out.select("variable", "n", F.col("df").cast("long").alias("df"), "chi_square", "min_expected", "test", "p")
+    return rounded(out, "chi_square", "min_expected", "p")
+
+
 def subject_trend(spark, sf_dir):
     long = shape.to_long(_gappy(spark, sf_dir), DAY, MEASURES)
     return rounded(
@@ -215,6 +238,8 @@ QUERIES = {
     "correlate": correlate,
     "correlate_by_stratum": correlate_by_stratum,
     "correlate_by_stratum_table_means": correlate_by_stratum_table_means,
+    "rank_sum_exact": rank_sum_exact,
+    "contingency_exact": contingency_exact,
     "subject_trend": subject_trend,
     "random_intercept": random_intercept,
     "random_intercept_common_level": random_intercept_common_level,
@@ -434,7 +459,58 @@ FROM fitted JOIN extra USING (measure)"""
     )
 
 
+_SUPPLIERS = """WITH RECURSIVE long_rows AS (
+  SELECT 'g' || CAST(s_nationkey // 5 AS VARCHAR) AS variable, s_acctbal AS value, CASE WHEN s_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS arm,
+         CAST(s_nationkey AS VARCHAR) AS nation, CASE WHEN s_acctbal > 4500 THEN 'high' ELSE 'low' END AS balance FROM supplier)"""
+
+
+def _rank_exact_sql():
+    """Subsets of the ranks are counted by size and sum, one rank a step."""
+    text = _rank_sql(_SUPPLIERS, "long_rows", "arm", "even", "odd", True)
+    head = text[: text.index("SELECT variable, n1, n2, round(u, 6)")]
+    z = "(u - n1 * n2 / 2.0 - sign(u - n1 * n2 / 2.0) * 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - tied / (n * (n - 1))))"
+    return head.rstrip() + f""",
+judged AS (SELECT *, greatest(n1, n2) < 50 AND tied = 0 AND least(n1, n2) > 0 AS small, CASE WHEN n1 > 0 AND n2 > 0 THEN {z} END AS z FROM stats),
+subsets AS (
+  SELECT 0 AS i, 0 AS s, 0 AS t, 1.0::DOUBLE AS ways
+  UNION ALL
+  SELECT i + 1, s + x, t + x * (i + 1), sum(ways) FROM subsets, (VALUES (0), (1)) AS c(x) WHERE i < (SELECT coalesce(max(n), 0) FROM judged WHERE small) GROUP BY 1, 2, 3),
+exact AS (
+  SELECT variable, least(1.0, 2 * sum(ways) FILTER (t - s * (s + 1) // 2 <= least(u, n1 * n2 - u)) / sum(ways)) AS p
+  FROM judged JOIN subsets ON i = n AND s = n1 WHERE small GROUP BY 1)
+SELECT variable, n1, n2, round(coalesce(u, 0), 6) AS u, round(z, 6) + 0.0 AS z, CASE WHEN small THEN 'exact' ELSE 'normal' END AS method,
+       round(CASE WHEN small THEN e.p WHEN z IS NOT NULL THEN {normal_p("z")} END, 6) + 0.0 AS p
+FROM judged LEFT JOIN exact e USING (variable)"""
+
+
+# All tables with the margins, row by row; two columns at most.
+_TABLES = _SUPPLIERS + f""",
+cells AS (SELECT variable, nation, balance, CAST(count(*) AS DOUBLE) AS o FROM long_rows GROUP BY 1, 2, 3),
+by_row AS (SELECT variable, nation, sum(o) AS r, coalesce(sum(o) FILTER (balance = 'high'), 0) AS h, row_number() OVER (PARTITION BY variable ORDER BY nation) AS i FROM cells GROUP BY 1, 2),
+by_column AS (SELECT variable, balance, sum(o) AS k FROM cells GROUP BY 1, 2),
+shape AS (
+  SELECT variable, any_value(n) AS n, any_value(nl) AS nl, any_value(ng) AS ng, any_value(rm) * any_value(km) / any_value(n) AS min_expected,
+         any_value(n) * (sum(o * o / (r * k)) - 1) AS chi
+  FROM cells JOIN by_row USING (variable, nation) JOIN by_column USING (variable, balance)
+  JOIN (SELECT variable, sum(r) AS n, count(*) AS nl, min(r) AS rm FROM by_row GROUP BY 1) USING (variable)
+  JOIN (SELECT variable, count(*) AS ng, min(k) AS km FROM by_column GROUP BY 1) USING (variable) GROUP BY 1),
+tables AS (
+  SELECT variable, 0::BIGINT AS i, 0.0::DOUBLE AS s, 0.0::DOUBLE AS lf FROM shape WHERE min_expected < 5
+  UNION ALL
+  SELECT t.variable, t.i + 1, s + x, lf + lgamma(x + 1.0) + lgamma(r - x + 1.0)
+  FROM tables t JOIN by_row b ON b.variable = t.variable AND b.i = t.i + 1, LATERAL (SELECT unnest(range(0, CAST(r AS BIGINT) + 1)) AS x)),
+seen AS (SELECT variable, sum(h) AS k1, sum(lgamma(h + 1.0) + lgamma(r - h + 1.0)) AS lf0 FROM by_row GROUP BY 1),
+exact AS (
+  SELECT variable, sum(exp(lf0 - lf)) FILTER (lf >= lf0 - 1e-9) / sum(exp(lf0 - lf)) AS p
+  FROM tables JOIN shape USING (variable) JOIN seen USING (variable) WHERE i = nl AND s = k1 GROUP BY 1)
+SELECT variable, CAST(n AS BIGINT) AS n, (nl - 1) * (ng - 1) AS df, round(chi, 6) + 0.0 AS chi_square, round(min_expected, 6) AS min_expected,
+       CASE WHEN min_expected >= 5 THEN 'chi_square' WHEN nl = 2 AND ng = 2 THEN 'fisher' ELSE 'exact' END AS test,
+       round(CASE WHEN min_expected >= 5 THEN {chi_square_p("chi", "((nl - 1) * (ng - 1))")} ELSE least(1.0, p) END, 6) + 0.0 AS p
+FROM shape LEFT JOIN exact USING (variable)"""
+
 ORACLE = {
+    "rank_sum_exact": _rank_exact_sql(),
+    "contingency_exact": _TABLES,
     "random_intercept": _random_intercept_sql(False),
     "random_intercept_common_level": _random_intercept_sql(True),
     "first_event_rollup": sql_with(_ROLLUP, "SELECT * FROM rollup_rows"),

@@ -90,10 +90,10 @@ def persistence_set_full(spark, sf_dir):
     return _set(spark, sf_dir, "full", "before")
 
 
-def grid_rows(spark, sf_dir, together=True):
+def grid_rows(spark, sf_dir, together=True, dedup="before"):
     return persist.persistence_grid(
         cut(ec.filled_calendar(_gappy(spark, sf_dir))), "subject_id", "subject_day", "date", "synthetic",
-        OUTCOMES, MEASURES, "suspected", flags_missing_together=together, block_days=7,
+        OUTCOMES, MEASURES, "suspected", flags_missing_together=together, block_days=7, dedup=dedup,
     )
 
 
@@ -113,7 +113,13 @@ def persistence_grid_separate_flags(spark, sf_dir):
     return _grid_counts(grid_rows(spark, sf_dir, together=False))
 
 
+def persistence_grid_counted_twice(spark, sf_dir):
+    """All 27 sets where a measured event day counts as two rows, as in a union before ``distinct``."""
+    return _grid_counts(grid_rows(spark, sf_dir, dedup="after"))
+
+
 QUERIES = {
+    "persistence_grid_counted_twice": persistence_grid_counted_twice,
     "event_rate_by_persistence": event_rate_by_persistence,
     "diversity": diversity,
     "define_outcome": define_outcome,
@@ -157,7 +163,7 @@ _TWO = f"""
   UNION {{all}} SELECT subject_id, subject_day, shannon, confirmed, shannon < 0.6{{copy2}} FROM filled WHERE {_STOP} AND shannon IS NOT NULL AND suspected"""
 
 
-def _grid_sql() -> str:
+def _grid_sql(twice: bool = False) -> str:
     parts = []
     tests = {"shannon": "< 0.6", "max_read_prop": "> 0.5", "log_abundance": "> 2.0"}
     for m, test in tests.items():
@@ -171,11 +177,17 @@ def _grid_sql() -> str:
                 parts.append(f"{head} WHERE {keep}{extra}".format(mode=mode, v=v))
             both = f"{head} WHERE {keep} AND NOT synthetic".format(mode="event_day", v=f"raw_{m}")
             days = f"{head} WHERE {keep} AND suspected".format(mode="event_day", v=m)
-            parts.append(f"SELECT * FROM ({both} UNION {days})")
+            if twice:
+                parts[-2:] = [p.replace(" FROM filled", ", 1 AS copy FROM filled") for p in parts[-2:]]
+                parts += [p.replace(" FROM filled", f", {c} AS copy FROM filled") for c, p in ((1, both), (2, days))]
+            else:
+                parts.append(f"SELECT * FROM ({both} UNION {days})")
+    order = "subject_day, copy" if twice else "subject_day"
     return sql_with(
         "base AS (" + "\nUNION ALL ".join(parts) + "), "
-        + counted_ctes("base", "mode, measure, outcome, subject_id").strip(),
-        "SELECT mode, measure, outcome, low_count, count(*) AS observations, count(*) FILTER (event) AS events FROM counted GROUP BY 1, 2, 3, 4",
+        + counted_ctes("base", "mode, measure, outcome, subject_id", order).strip()
+        + ", kept AS (SELECT DISTINCT mode, measure, outcome, subject_id, subject_day, event, f, improved, episode, low_count FROM counted)",
+        "SELECT mode, measure, outcome, low_count, count(*) AS observations, count(*) FILTER (event) AS events FROM kept GROUP BY 1, 2, 3, 4",
     )
 
 
@@ -231,5 +243,6 @@ FROM gappy"""
         f"SELECT subject_id, subject_day, shannon, confirmed, shannon < 0.6 AS f FROM filled WHERE {_STOP} AND shannon IS NOT NULL AND confirmed IS NOT NULL"
     ),
     "persistence_grid": _grid_sql(),
+    "persistence_grid_counted_twice": _grid_sql(twice=True),
     "persistence_grid_separate_flags": _grid_sql(),
 }

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.pvalues import chi_square_p, fisher_p, normal_p
+from cohortloom.functions.pvalues import chi_square_p, exact_table_p, fisher_p, normal_p
 from cohortloom.functions.scalars import period_of, period_rank
 from cohortloom.operators.shape import to_long
 from cohortloom.plans.joins import lookup_join
@@ -213,11 +213,12 @@ def _group_tests(subjects: DataFrame, by: str, by_levels: Sequence[str], continu
 
 def rank_sum_statistics(
     long: DataFrame, variable: str, value: str, group: str, first: str, second: str, variables: int,
-    continuity: bool = True, blocks: int | None = None,
+    continuity: bool = True, blocks: int | None = None, keep_ties: bool = False,
 ) -> DataFrame:
     """Wilcoxon rank-sum statistic of two groups per variable, with tie-corrected z.
 
-    Only distinct values and their counts are ranked, block by block.
+    Only distinct values and their counts are ranked, block by block.  ``keep_ties`` adds ``tied``,
+    whether any value occurs twice.
     """
     two = long.where(F.col(group).isin(first, second))
     counts = {"_n1": F.count_if(F.col(group) == first)}
@@ -235,7 +236,7 @@ def rank_sum_statistics(
     variance = n1 * n2 / 12.0 * (n + 1 - F.try_divide(F.col("_tied"), n * (n - 1)))
     shift = F.signum(off) * 0.5 if continuity else F.lit(0.0)
     return sums.withColumn("u", u).select(
-        variable, "n1", "n2", "u", F.try_divide(off - shift, F.sqrt(variance)).alias("z")
+        variable, "n1", "n2", "u", F.try_divide(off - shift, F.sqrt(variance)).alias("z"), *([(F.col("_tied") > 0).alias("tied")] if keep_ties else [])
     )
 
 
@@ -244,6 +245,79 @@ def rank_sum_test(*args, **kwargs) -> DataFrame:
     return rank_sum_statistics(*args, **kwargs).withColumn("p", normal_p("z"))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def exact_rank_sum_p(n1: Column, n2: Column, u: Column) -> Column:
+    """Two-sided p-value of a rank sum without ties, from the number of arrangements with each sum.
+
+    The arrangements with statistic k are the coefficients of a product of fractions
+    (1 - q^(n2 + i)) / (1 - q^i), i = 1 .. n1: a fold that multiplies by one and sums up along every i-th place for the
+    other.  Only places up to the smaller tail are kept.
+    """
+    few, many = F.least(n1, n2), F.greatest(n1, n2)
+    tail = F.least(u, n1 * n2 - u).cast("int")
+    first = F.transform(F.sequence(F.lit(0), tail), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+
+    def factor(a: Column, i: Column) -> Column:
+        less = F.transform(a, lambda v, k: v - F.coalesce(F.get(a, (k - many - i).cast("int")), F.lit(0.0)))
+
+        def along(values: Column) -> Column:
+            def total(_: Column, k: Column) -> Column:
+                places = F.sequence((k % i).cast("int"), k, i)
+                return F.aggregate(places, F.lit(0.0), lambda acc, j: acc + F.get(values, j))
+
+            return F.transform(values, total)
+
+        return _bound(less, along)
+
+    steps = F.sequence(F.lit(1), few.cast("int"))
+    ways = F.aggregate(F.aggregate(steps, first, factor), F.lit(0.0), lambda acc, v: acc + v)
+    every = F.aggregate(steps, F.lit(1.0), lambda acc, i: acc * (many + i) / i)
+    return F.least(F.lit(1.0), 2.0 * ways / every)
+
+
+def rank_sum_exact(
+    long: DataFrame, variable: str, value: str, group: str, first: str, second: str, variables: int, exact_below: int = 50, **options
+) -> DataFrame:
+    """``rank_sum_statistics`` with a p-value and how it was found (``method``).
+
+    ``exact``: both groups have fewer than ``exact_below`` values and no value occurs twice.  ``normal``: otherwise.
+    ``p`` is null where a group has no values.
+    """
+    stats = rank_sum_statistics(long, variable, value, group, first, second, variables, keep_ties=True, **options)
+    small = (F.greatest("n1", "n2") < exact_below) & ~F.col("tied") & (F.least("n1", "n2") > 0)
+    p = F.when(small, exact_rank_sum_p(F.col("n1"), F.col("n2"), F.col("u"))).otherwise(F.col("_normal"))
+    found = stats.withColumn("_normal", normal_p("z"))
+    return found.withColumns({"method": F.when(small, "exact").otherwise("normal"), "p": p}).drop("tied", "_normal")
+
+
+def contingency_exact(
+    long: DataFrame, variable: str, level: str, group: str, small_expected: float = 5.0, most_cells: int = 60
+) -> DataFrame:
+    """``contingency_test`` where tables larger than 2x2 with a small expected count are exact too.
+
+    ``test`` is ``exact`` where all tables with the same margins could be counted, ``permutation`` where they are too many
+    and tables were drawn instead, by a fixed seed.  Tables of more than ``most_cells`` cells keep the
+    chi-square value (``chi_square_small_expected``), as their cells are not brought together.
+    """
+    tested = contingency_test(long, variable, level, group, small_expected)
+    cells = long.where(F.col(level).isNotNull() & F.col(group).isNotNull()).groupBy(variable, level, group).agg(F.count("*").alias("_o"))
+    shape = cells.groupBy(variable).agg((F.count_distinct(level) * F.count_distinct(group)).alias("_cells"))
+    wanted = tested.where(F.col("test") == "chi_square_small_expected").select(variable).join(shape, variable).where(F.col("_cells") <= most_cells)
+    # At most ``most_cells`` entries per variable.
+    entry = F.struct(F.dense_rank().over(Window.partitionBy(variable).orderBy(level)).alias("r"), F.dense_rank().over(Window.partitionBy(variable).orderBy(group)).alias("c"), F.col("_o").alias("o"))
+    tables = cells.join(wanted.select(variable), variable).withColumn("_e", entry).groupBy(variable).agg(F.collect_list("_e").alias("_table"))
+    exact = tables.select(variable, exact_table_p("_table").alias("_x"))
+    both = tested.join(exact, variable, "left")
+    found = F.col("_x").isNotNull()
+    return both.withColumns(
+        {"test": F.when(found, F.col("_x.test")).otherwise(F.col("test")), "p": F.when(found, F.col("_x.p")).otherwise(F.col("p"))}
+    ).drop("_x")
+
+
 def contingency_statistics(long: DataFrame, variable: str, level: str, group: str) -> DataFrame:
     """Pearson chi-square per variable of level x group, with smallest expected count.
 

@@ -139,6 +139,7 @@ def persistence_grid(
     modes: Sequence[str] = ("none", "event_day", "full"),
     flags_missing_together: bool = False,
     block_days: int = DEFAULT_BLOCK_DAYS,
+    dedup: str = "before",
 ) -> DataFrame:
     """All persistence sets of outcomes x measures x imputation modes in one pass.
 
@@ -152,13 +153,22 @@ def persistence_grid(
 
     ``flags_missing_together`` says that the outcome flags are null on the same rows; counts
     are then worked out once for all outcomes.
+
+    ``dedup="after"`` counts an imputed event day that has a measurement too as the two rows it is in a union
+    of both: the day has multiplicity two in all prefix counts.  As repeated rows go only where they are equal
+    in flag, improvement and count, both rows stay on a disrupted day (with counts one apart) and on one
+    that improves (both with count 0).
     """
+    if dedup not in ("before", "after"):
+        raise ValueError(f"unknown dedup {dedup!r}")
     observed = f"NOT `{synthetic}`"
     event_day = f"({observed} AND coalesce(`{broad_flag}`, false))"
     # Censoring keeps the first part of a timeline, and a count looks back only, so the count of a
     # kept row does not depend on the outcome.  Only missing outcome flags can make a difference.
     present = {o: "all" if flags_missing_together else o for o in outcomes}
     codes: dict[tuple[str, str, str], str] = {}
+    # How many rows of the union a subject-day is, and the sets in which that may be two.
+    weights: dict[tuple[str, str, str], str] = {}
     for mode in modes:
         for measure, (raw, carried, op, threshold) in measures.items():
             value = {
@@ -172,6 +182,8 @@ def persistence_grid(
                 codes[mode, measure, present[outcome]] = (
                     f"CASE WHEN {usable} THEN CAST({value} {op} {threshold!r} AS TINYINT) END"
                 )
+                if dedup == "after" and mode == "event_day":
+                    weights[mode, measure, present[outcome]] = f"CAST(IF({event_day} AND `{raw}` IS NOT NULL, 2, 1) AS TINYINT)"
     number = {key: i for i, key in enumerate(codes)}
     place = {outcome: i for i, outcome in enumerate(outcomes)}
 
@@ -188,11 +200,17 @@ def persistence_grid(
         f"CASE WHEN `{date}` IS NOT NULL AND (`{first}` IS NULL OR `{date}` <= `{first}`) THEN `{flag}` END AS _event_{place[outcome]}"
         for outcome, (flag, first) in outcomes.items()
     ]
+    twice = {number[key]: weight for key, weight in weights.items()}
     rows = calendar.withColumn(BLOCK, day_block(day, block_days)).selectExpr(
-        *keys, f"`{day}`", *events, *[f"{code} AS _s{i}" for i, code in enumerate(codes.values())]
+        *keys, f"`{day}`", *events, *[f"{code} AS _s{i}" for i, code in enumerate(codes.values())], *[f"{w} AS _m{i}" for i, w in twice.items()]
     )
-    rows = rows.selectExpr("*", *[f"CAST(count(_s{i}) {upto} AS INT) AS _p{i}" for i in k])
-    rows = rows.selectExpr("*", *[f"max(CASE WHEN _s{i} = 0 THEN _p{i} END) {upto} AS _z{i}" for i in k])
+    counted = {i: f"sum(CASE WHEN _s{i} IS NOT NULL THEN _m{i} END)" if i in twice else f"count(_s{i})" for i in k}
+    rows = rows.selectExpr("*", *[f"CAST(coalesce({counted[i]} {upto}, 0) AS INT) AS _p{i}" for i in k])
+    earlier = upto.replace("CURRENT ROW", "1 PRECEDING")
+    rows = rows.selectExpr(
+        "*", *[f"max(CASE WHEN _s{i} = 0 THEN _p{i} END) {upto} AS _z{i}" for i in k],
+        *[f"max(CASE WHEN _s{i} = 0 THEN _p{i} END) {earlier} AS _y{i}" for i in twice],
+    )
     summary = {
         "_sizes": F.expr("array(" + ", ".join(f"max(_p{i})" for i in k) + ")"),
         "_lasts": F.expr("array(" + ", ".join(f"max(_z{i})" for i in k) + ")"),
@@ -210,10 +228,12 @@ def persistence_grid(
         for measure in measures:
             for outcome in outcomes:
                 i = number[mode, measure, present[outcome]]
-                entries.append(
-                    f"CASE WHEN _s{i} IS NOT NULL AND _event_{place[outcome]} IS NOT NULL THEN "
-                    f"named_struct('mode', {text(mode)}, 'measure', {text(measure)}, 'outcome', {text(outcome)}, 'event', _event_{place[outcome]}, "
-                    f"'low_count', CAST(coalesce(_p{i} - _z{i}, _runs[{i}] + _p{i}) AS BIGINT)) END"
-                )
+                named = f"named_struct('mode', {text(mode)}, 'measure', {text(measure)}, 'outcome', {text(outcome)}, 'event', _event_{place[outcome]}, 'low_count', "
+                run = f"coalesce(_p{i} - _z{i}, _runs[{i}] + _p{i})"
+                kept = f"_s{i} IS NOT NULL AND _event_{place[outcome]} IS NOT NULL"
+                entries.append(f"CASE WHEN {kept} THEN {named} CAST({run} AS BIGINT)) END")
+                if i in twice:
+                    improves = f"_s{i} = 0 AND coalesce(_p{i} - 2 - _y{i}, _runs[{i}] + _p{i} - 2) > 0"
+                    entries.append(f"CASE WHEN {kept} AND _m{i} = 2 AND (_s{i} = 1 OR {improves}) THEN {named} CAST(greatest({run} - 1, 0) AS BIGINT)) END")
     long = rows.selectExpr(keys[0], f"`{day}`", f"explode(array({', '.join(entries)})) AS _e")
     return long.where(F.col("_e").isNotNull()).select(subject, day, "_e.*")
