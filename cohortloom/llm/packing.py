@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from cohortloom.plans.lineage import cut
 ROOM = 2048
 END_ID = 0
 #: Words whose ids a worker remembers; beyond it starts afresh.
-WORDS_KEPT = 600_000
-DOCS_AT_ONCE = 512
+WORDS_KEPT = 500_000
+DOCS_AT_ONCE = 256
 #: Separators that Python splits at and the tokenizer does not, and letters whose lower case depends on their place.
 ODD = "[\x1c-\x1f\x85Σ]"
 
@@ -104,21 +105,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str, text: str, room: int
     one of more than ``room`` ids is cut, into pieces of ``room``.
     """
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = on_worker(f"ids_{zlib.crc32(tokenizer.encode())}", lambda: WordIds(tokenizer))
         for batch in batches:
-            keys, texts = batch[key].tolist(), batch[text].tolist()
-            for at in range(0, len(texts), DOCS_AT_ONCE):
-                rows = []
-                for k, ids in zip(keys[at:], ids_of([t or "" for t in texts[at : at + DOCS_AT_ONCE]])):
+            for at in range(0, len(batch), DOCS_AT_ONCE):
+                some = batch.slice(at, DOCS_AT_ONCE)
+                keys, piece, start, length, crc = [], [], [], [], []
+                for k, ids in zip(some.column(0).to_pylist(), ids_of([t or "" for t in some.column(1).to_pylist()])):
                     ids += end_id.to_bytes(4, "little")
-                    for i, start in enumerate(range(0, len(ids), 4 * room)):
-                        part = ids[start : start + 4 * room]
-                        rows.append((k, i, start // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"]).astype({key: "Int64"})
+                    for i, first in enumerate(range(0, len(ids), 4 * room)):
+                        part = ids[first : first + 4 * room]
+                        keys.append(k)
+                        piece.append(i)
+                        start.append(first // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                arrays = [pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "piece", "start", "length", "ids_crc32"])
         give_back()
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text")).mapInArrow(
         cut_up, f"`{key}` long, piece int, start long, length long, ids_crc32 long"
     )
 
