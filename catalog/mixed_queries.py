@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import rounded, sql_with
-from catalog.model_queries import _COMPARED, _COMPARISON, _GRID, _STRATA_SQL, _count_models, _unit, ldl_steps, newton_ctes
+from catalog.model_queries import (
+    _COMPARED, _COMPARISON, _GRID, _STRATA_SQL, SQL_ORDER_DRAWS, _count_models, _gappy, _order_draws, _poisson, _unit, ldl_steps, newton_ctes,
+)
 from cohortloom.functions import fixed_values as fixed
-from cohortloom.operators import draws as dr, mixed, models, shape
+from cohortloom.operators import associate, draws as dr, mixed, models, shape
 from cohortloom.plans import event_cohort as ec
 from cohortloom.plans.lineage import cut
 
@@ -175,7 +177,26 @@ def stratum_bands(spark, sf_dir):
     return rounded(out, "width", "median", "lower", "upper")
 
 
+def smooth_density(spark, sf_dir):
+    """Kernel densities of the draws of every model and parameter."""
+    out = dr.smooth_density(_order_draws(spark, sf_dir), ["model", "param"], "value", points=48, group_bound=12)
+    return rounded(out.withColumn("point", F.col("point").cast("long")), "bandwidth", "x", "density")
+
+
+PAIRS = [("shannon", "log_abundance"), ("max_read_prop", "log_abundance"), ("shannon", "max_read_prop")]
+RESAMPLED = 60
+
+
+def correlate_resampled(spark, sf_dir):
+    """Correlations with intervals over resampled subjects."""
+    rows = shape.censor_at_first(_gappy(spark, sf_dir), "subject_id", "date", "first_confirmed")
+    out = associate.correlate_resampled(rows, PAIRS, "subject_id", RESAMPLED)
+    return rounded(out, "estimate", "lower", "upper")
+
+
 QUERIES = {
+    "smooth_density": smooth_density,
+    "correlate_resampled": correlate_resampled,
     "smoothed_scores": smoothed_scores,
     "compare_mixed_formulas": compare_mixed_formulas,
     "stratum_effects": stratum_effects,
@@ -352,7 +373,40 @@ effects AS MATERIALIZED ({_POSTERIOR.format(em="(SELECT * FROM em WHERE i = 500)
     ).replace("WITH", "WITH RECURSIVE", 1)
 )
 
+_DENSITY = SQL_ORDER_DRAWS + """,
+stats AS (
+  SELECT model, param, count(*) AS n, min(value) AS lo, max(value) AS hi, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END * pow(count(*), -0.2) AS h
+  FROM draws JOIN (SELECT model, param, stddev_samp(value) AS sd, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 AS iqr FROM draws GROUP BY 1, 2) USING (model, param)
+  GROUP BY 1, 2, iqr, sd),
+placed AS (SELECT model, param, n, h, lo - 3 * h AS f, (hi - lo + 6 * h) / 47 AS d, (value - (lo - 3 * h)) / ((hi - lo + 6 * h) / 47) AS spot FROM draws JOIN stats USING (model, param)),
+shares AS (
+  SELECT model, param, n, h, f, d, floor(spot) AS bin, 1 - (spot - floor(spot)) AS w FROM placed
+  UNION ALL SELECT model, param, n, h, f, d, floor(spot) + 1, spot - floor(spot) FROM placed),
+bins AS (SELECT model, param, any_value(n) AS n, any_value(h) AS h, any_value(f) AS f, any_value(d) AS d, bin, sum(w) AS w FROM shares GROUP BY model, param, bin)
+SELECT model, param, round(any_value(h), 6) AS bandwidth, range AS point, round(any_value(f + d * range), 6) + 0.0 AS x,
+       round(sum(w * exp(-0.5 * ((bin - range) * d / h) ** 2)) / any_value(n * h * sqrt(2 * pi())), 6) + 0.0 AS density
+FROM bins, range(48) GROUP BY model, param, range"""
+_RESAMPLED = sql_with(
+    "kept AS (SELECT * FROM gappy WHERE date <= coalesce(first_confirmed, DATE '9999-01-01')),\npairs AS ("
+    + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, subject_id, {x} AS a, {y} AS b FROM kept WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in PAIRS)
+    + f"""),
+weights AS (
+  SELECT range AS replicate, subject_id, CASE WHEN range = 0 THEN 1 ELSE {_poisson("u")} END AS w
+  FROM (SELECT range, subject_id, {_unit(16, "range", "subject_id")} AS u FROM (SELECT DISTINCT subject_id FROM pairs), range({RESAMPLED + 1}))),
+means AS (
+  SELECT x, y, replicate, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM pairs JOIN weights USING (subject_id) WHERE w > 0 GROUP BY 1, 2, 3),
+refits AS (
+  SELECT x, y, replicate, any_value(n) AS n, sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) ** 2) * sum(w * (b - mb) ** 2)) AS r
+  FROM pairs JOIN weights USING (subject_id) JOIN means USING (x, y, replicate) WHERE w > 0 GROUP BY 1, 2, 3)""",
+    """
+SELECT x, y, CAST(max(n) FILTER (replicate = 0) AS BIGINT) AS n, round(max(r) FILTER (replicate = 0), 6) + 0.0 AS estimate,
+       round(quantile_cont(r, 0.025) FILTER (replicate > 0), 6) + 0.0 AS lower, round(quantile_cont(r, 0.975) FILTER (replicate > 0), 6) + 0.0 AS upper,
+       count(r) FILTER (replicate > 0) AS replicates FROM refits GROUP BY 1, 2""",
+)
+
 ORACLE = {
+    "smooth_density": _DENSITY,
+    "correlate_resampled": _RESAMPLED,
     "smoothed_scores": _LOO + """
 SELECT model, order_id, round(lpd, 6) AS lpd, round(p_waic, 6) AS p_waic, round(elpd_loo, 6) AS elpd_loo, round(elpd_waic, 6) AS elpd_waic,
        round(pareto_k, 6) AS pareto_k FROM scores""",

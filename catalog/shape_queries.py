@@ -9,7 +9,7 @@ from cohortloom.functions import fixed_values as fixed
 from cohortloom.operators import shape
 from cohortloom.plans import event_cohort as ec
 from cohortloom.plans.lineage import scratch_path
-from cohortloom.sources.measurements import read_measurements, read_results, write_results
+from cohortloom.sources.measurements import read_measurements, read_results, write_resumable, write_results
 
 DAY = ["subject_id", "subject_day"]
 
@@ -60,6 +60,21 @@ def results_round_trip(spark, sf_dir):
     return read_results(spark, path, "user_id long, n long, largest double, model string")
 
 
+def results_resumed(spark, sf_dir):
+    """Results by key: a first run of some keys, then a run of all that goes on from there."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("model", F.col("event_type"))
+    keys = events.select("model").distinct()
+
+    def results(some):
+        chosen = events.join(F.broadcast(some), "model")
+        return chosen.groupBy("user_id", "model").agg(F.count("*").alias("n"), r6(F.max("value")).alias("largest"))
+
+    path = scratch_path(spark, "results")
+    write_resumable(keys.where(F.col("model") < "p"), results, path, "model", batches=2)
+    write_resumable(keys, results, path, "model", batches=2)
+    return read_results(spark, path, "user_id long, n long, largest double, model string")
+
+
 def baseline_enrich(spark, sf_dir):
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -204,6 +219,7 @@ QUERIES = {
     "read_csv": read_csv,
     "read_tsv": read_tsv,
     "results_round_trip": results_round_trip,
+    "results_resumed": results_resumed,
     "baseline_enrich": baseline_enrich,
     "densify_calendar": densify_calendar,
     "locf": locf,
@@ -235,6 +251,8 @@ ORACLE = {
     "read_csv": READ_SQL,
     "read_tsv": READ_SQL,
     "results_round_trip": """
+SELECT user_id, event_type AS model, count(*) AS n, round(max(value), 6) AS largest FROM events GROUP BY 1, 2""",
+    "results_resumed": """
 SELECT user_id, event_type AS model, count(*) AS n, round(max(value), 6) AS largest FROM events GROUP BY 1, 2""",
     "baseline_enrich": sql_with(
         """

@@ -8,6 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.models import cluster_weights
+from cohortloom.plans.joins import counted_bound, lookup_join
+from cohortloom.plans.lineage import cut
+
 NORMAL_975 = 1.959963984540054
 
 
@@ -83,6 +87,46 @@ def correlate_by(
     )
 
 
+def correlate_resampled(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], subject: str, replicates: int, seed: int = 16, level: float = 0.95
+) -> DataFrame:
+    """Pearson correlation of several pairs with an interval that resamples subjects as a whole.
+
+    A subject reduces to its six moments per pair.  Its Poisson(1) weights in all replicates are hashes, worked
+    out once; one aggregation sums weighted moments for all replicates.  ``lower`` and ``upper`` are percentiles of the
+    replicates' correlations, ``replicates`` how many of them have one (a replicate in which a measure does
+    not vary has none).  A missing subject is a subject like others.
+    """
+    means = df.agg(F.struct(*[F.avg(c).alias(f"m{i}_{k}") for i, pair in enumerate(pairs) for k, c in enumerate(pair)]).alias("m")).scalar()
+    entries = []
+    for i, (x, y) in enumerate(pairs):
+        a, b = (F.col(c).cast("double") - F.col("_m")[f"m{i}_{k}"] for k, c in enumerate((x, y)))
+        entries.append(F.struct(F.lit(i).alias("pair"), a.alias("a"), b.alias("b")))
+    who = F.coalesce(F.concat(F.lit("="), F.col(subject).cast("string")), F.lit("")).alias("_who")
+    rows = df.withColumn("_m", means).select(F.col(subject).alias("_subject"), who, F.inline(F.array(*entries))).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    a, b = F.col("a"), F.col("b")
+    moments = {"n": F.count("*").cast("double"), "sa": F.sum(a), "sb": F.sum(b), "aa": F.sum(a * a), "bb": F.sum(b * b), "ab": F.sum(a * b)}
+    per_subject = cut(rows.groupBy("pair", "_who", "_subject").agg(*[m.alias(c) for c, m in moments.items()]))
+    weights = cut(cluster_weights(per_subject.select("_subject", "_who"), "_subject", replicates, seed).withColumn(
+        "_who", F.coalesce(F.concat(F.lit("="), F.col("_subject").cast("string")), F.lit(""))
+    ))
+    joined = lookup_join(per_subject.drop("_subject"), weights.drop("_subject"), ["_who"], counted_bound(weights), "inner", width=replicates + 128)
+    drawn = joined.select("pair", *moments, F.posexplode("_w").alias("replicate", "w")).where(F.col("w") > 0)
+    sums = drawn.groupBy("pair", "replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in moments])
+    n = F.col("n")
+    vary = (F.col("aa") - F.col("sa") * F.col("sa") / n) * (F.col("bb") - F.col("sb") * F.col("sb") / n)
+    sums = sums.withColumn("r", F.when(vary > 0, (F.col("ab") - F.col("sa") * F.col("sb") / n) / F.sqrt(vary)))
+    again = F.when(F.col("replicate") > 0, F.col("r"))
+    # At most ``replicates`` values per pair.
+    q = F.percentile(again, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    own = F.col("replicate") == 0
+    out = sums.groupBy("pair").agg(
+        F.max(F.when(own, F.col("n"))).cast("long").alias("n"), F.max(F.when(own, F.col("r"))).alias("estimate"), q.alias("_q"), F.count(again).alias("replicates")
+    )
+    names = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])[F.col("pair")]
+    return out.select(names["x"].alias("x"), names["y"].alias("y"), "n", "estimate", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "replicates")
+
+
 def subject_trend(long: DataFrame, subject: str, day: str, measure: str, value: str) -> DataFrame:
     """Within-subject slope of each measure on the day, with subject-clustered standard error.
 
