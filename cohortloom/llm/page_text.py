@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.plans.joins import counted_bound
 from cohortloom.plans.lineage import cut
 
 TOKEN = re.compile(
@@ -41,8 +42,10 @@ NOISE = re.compile(
 STATE = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.IGNORECASE)
 ANSWERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|recommended|related|replies|reply|respond)(?:$|[\s_-])", re.IGNORECASE)
 CONTENT = frozenset(("article", "main"))
-#: A slot is template if so many pages of a host have it and this share of them the same text in it.
+#: A slot is template if so many pages of a host have it and this share of them the same text in it; on pages without an article
+#: also if so many different pages have it and its texts are found on so many of them each, on average.
 LEAST_PAGES, CONSTANT = 4, 0.6
+LEAST_DIFFERENT, REPEATED = 8, 3.0
 
 
 @dataclass
@@ -105,13 +108,11 @@ def drop_noise(root: Node, kinds: list[str], holds: list[tuple[str, Node, tuple[
     wrapper |= {i for i, kind in enumerate(kinds) if not outside and kind != "answers" and 2 * chars[i] > total}
     gone = set(range(len(kinds))) - wrapper
 
-    def prune(node: Node) -> None:
+    todo = [root] if gone else []
+    while todo:
+        node = todo.pop()
         node.children = [c for c in node.children if gone.isdisjoint(c.within)]
-        for c in node.children:
-            prune(c)
-
-    if gone:
-        prune(root)
+        todo += node.children
 
 
 def parse(page: str) -> Node:
@@ -141,19 +142,25 @@ def parse(page: str) -> Node:
     def open_block() -> str:
         return next((tag for tag, *_ in reversed(open_tags) if tag in BLOCK), "")
 
-    def close(tags: set[str], stop: frozenset[str]) -> None:
+    def close(tags: set[str], stop: frozenset[str]) -> bool:
+        """End the innermost open element of these tags; false if there is none before a tag of ``stop``."""
         for i in range(len(open_tags) - 1, -1, -1):
             if open_tags[i][0] in tags:
                 before = open_tags[i - 1][2] if i else ()
                 if any(tag in BLOCK or noise != before for tag, _, noise, _ in open_tags[i:]):
                     flush()
                 del open_tags[i:]
-                return
+                return True
             if open_tags[i][0] in stop:
-                return
+                return False
+        return False
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
+        if at > last:
+            # No tag ends any more: what is left is text, up to a comment.
+            words.append(page[at:].split("<!--")[0].replace("<![CDATA[", ""))
+            break
         m = TOKEN.search(page, at)
         if not m:
             words.append(page[at:])
@@ -174,8 +181,8 @@ def parse(page: str) -> Node:
         if tag in BLOCK:
             flush()
             close({"p"}, BOUNDARY | {"li", "td", "th", "dd"})
-        if tag in ENDS:
-            close(ENDS[tag], BOUNDARY)
+        while tag in ENDS and close(ENDS[tag], BOUNDARY):
+            pass
         if tag in ("br", "wbr"):
             words.append(" " if tag == "br" else "")
         if tag in VOID:
@@ -204,48 +211,116 @@ def parse(page: str) -> Node:
     return root
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
-    """Simple tree matching: the largest number of nodes that two trees have in common, parents and order kept.
+def aligned(a: list[Node], b: list[Node], weigh, trace: bool) -> tuple[int, list[tuple[int, int]]]:
+    """Largest total weight of pairs of two lists in order, and with ``trace`` the pairs of one such choice.
 
-    ``pairs`` takes the matched nodes of one largest matching.
+    Every pair of nodes weighs 2, and 3 where it is of blocks with one text, so equal blocks at both ends are pairs of some best
+    choice and are taken at once.  ``weigh`` gives the weight of two containers of one label.  The table is worked out a row at a
+    time; only some rows are kept, from which those between are worked out again on the way back.
     """
-    if a.label != b.label:
-        return 0
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    weight: dict[tuple[int, int], int] = {}
-    for i, x in enumerate(a.children):
-        row, above = best[i + 1], best[i]
-        leaf, label, text = x.text is not None, x.label, x.text
-        for j, y in enumerate(b.children):
-            if label != y.label:
-                w = 0
-            elif leaf:
-                w = 3 if text == y.text else 2
-            else:
-                w = 2 * match(x, y)
-            if w:
-                weight[i, j] = w
-            row[j + 1] = max(above[j + 1], row[j], above[j] + w)
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
+    first = 0
+    while first < min(len(a), len(b)) and a[first].text is not None and (a[first].label, a[first].text) == (b[first].label, b[first].text):
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last].text is not None and (a[-1 - last].label, a[-1 - last].text) == (b[-1 - last].label, b[-1 - last].text):
+        last += 1
+    ends = [(i, i) for i in range(first)], [(len(a) - i, len(b) - i) for i in range(last, 0, -1)]
+    x, y = a[first : len(a) - last], b[first : len(b) - last]
+    if not x or not y:
+        return 3 * (first + last), [*ends[0], *ends[1]]
+    number: dict[tuple, int] = {}
+
+    def numbers(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+        labels = [number.setdefault((n.label,), len(number)) for n in nodes]
+        texts = [-1 if n.text is None else number.setdefault((n.label, n.text), len(number)) for n in nodes]
+        return np.array(labels, np.int32), np.array(texts, np.int32)
+
+    (x_label, x_text), (y_label, y_text) = numbers(x), numbers(y)
+    y_leaf, there = y_text >= 0, set(y_text.tolist())
+    by_label: dict[int, np.ndarray] = {}
+
+    def row_weights(i: int) -> np.ndarray:
+        label, text = int(x_label[i]), int(x_text[i])
+        if text >= 0:
+            if label not in by_label:
+                by_label[label] = np.where((y_label == label) & y_leaf, np.int32(2), np.int32(0))
+            return by_label[label] + (y_text == text) if text in there else by_label[label]
+        weights = np.zeros(len(y), np.int32)
+        for j in np.flatnonzero((y_label == label) & ~y_leaf).tolist():
+            weights[j] = weigh(x[i], y[j])
+        return weights
+
+    def next_row(above: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + row_weights(i)), out=row[1:])
+        return row
+
+    every = max(1, int(len(x) ** 0.5))
+    kept = {0: np.zeros(len(y) + 1, np.int32)}
+    row = kept[0]
+    for i in range(len(x)):
+        row = next_row(row, i)
+        if trace and (i + 1) % every == 0:
+            kept[i + 1] = row
+    total = int(row[-1]) + 3 * (first + last)
+    pairs: list[tuple[int, int]] = []
+    i, j = len(x), len(y)
+    while trace and i and j:
+        low = (i - 1) // every * every
+        rows = [kept[low]]
+        for k in range(low, i):
+            rows.append(next_row(rows[-1], k))
+        while i > low and j:
+            here, above = rows[i - low], rows[i - low - 1]
+            if here[j] == above[j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif here[j] == here[j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                match(a.children[i], b.children[j], pairs)
-    return 1 + best[m][n]
+                pairs.append((first + i, first + j))
+    return total, [*ends[0], *reversed(pairs), *ends[1]]
+
+
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
+    """Simple tree matching: the largest number of nodes that two trees have in common, parents and order kept.
+
+    ``pairs`` takes the matched nodes of one largest matching.  Works with stacks, however deep the trees are.
+    """
+    if a.label != b.label:
+        return 0
+    found: dict[tuple[int, int], int] = {}
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if (id(x), id(y)) in found:
+            continue
+        if ready:
+            found[id(x), id(y)] = 1 + aligned(x.children, y.children, lambda p, q: 1 + found[id(p), id(q)], False)[0]
+            continue
+        todo.append((x, y, True))
+        inner = defaultdict(list)
+        for q in y.children:
+            if q.text is None:
+                inner[q.label].append(q)
+        todo += [(p, q, False) for p in x.children if p.text is None for q in inner[p.label]]
+    matched = [(a, b)] if pairs is not None else []
+    while matched:
+        x, y = matched.pop()
+        pairs.append((x, y))
+        for i, j in aligned(x.children, y.children, lambda p, q: 1 + found[id(p), id(q)], True)[1]:
+            matched.append((x.children[i], y.children[j]))
+    return found[id(a), id(b)]
 
 
 def blocks(node: Node) -> Iterator[Node]:
-    if node.text is not None:
-        yield node
-    for child in node.children:
-        yield from blocks(child)
+    """Blocks in page order."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.text is not None:
+            yield node
+        todo += reversed(node.children)
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -268,6 +343,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def hashed(text: str) -> int:
+    """64 bits of a text, as a signed number."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def slots(pivot: Node, page: Node) -> list[tuple[int, Node, Node]]:
     """Aligned blocks: the pivot block's number, the pivot's and the page's block."""
     number = {id(b): i for i, b in enumerate(blocks(pivot))}
@@ -279,11 +361,13 @@ def slots(pivot: Node, page: Node) -> list[tuple[int, Node, Node]]:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` of every row.
 
-    Every page of a host is aligned with the host's pivot (its page with the smallest key) by
-    simple tree matching.  A first pass counts, over all pages of the host, how often each
-    block of the pivot is matched, and how often by the same text: constant ones are template, varying ones
-    content.  A second pass aligns again and takes the content.  Blocks that markup names as menu,
-    header, footer, notice, advert, form or comment never count, nor do scripts and styles.
+    Every page of a host is aligned with the host's pivot (of the pages at least half as long as its pages are on
+    average, the one with the smallest key) by simple tree matching.  A first pass counts, over all pages of the host, how
+    often each block of the pivot is matched, how often by the same text, and on how many different pages each text is
+    found there: constant slots are template, and so are, where a page has no article, slots whose few texts
+    repeat from page to page (menus, adverts, footers); varying ones are content.  Copies of a page count once in that.  A second pass
+    aligns again and takes the content.  Blocks that markup names as menu, header, footer, notice, advert, form or comment
+    never count, nor do scripts and styles.
 
     A host may hold most pages: they meet the host's one pivot row in a join that can be split,
     and counts are summed in each task before they are shuffled.  A null page is empty; a null
@@ -292,8 +376,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     rows = pages.select(F.col(key).cast("long").alias(key), F.col(url).alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("_host"))
     filled = rows.where(F.col("html").isNotNull())
     # Stored, so that its size is known before the join with whole pages is planned.
-    first = cut(filled.groupBy("_host").agg(F.min(key).alias(key)))
-    pivots = cut(filled.join(first, ["_host", key], "left_semi").groupBy("_host").agg(F.min("html").alias("_pivot")))
+    size = F.octet_length("html")
+    usual = cut(filled.groupBy("_host").agg(F.avg(size).alias("_usual")))
+    whole = filled.join(F.broadcast(usual) if counted_bound(usual) else usual, "_host").where(2 * size >= F.col("_usual"))
+    first = cut(whole.groupBy("_host").agg(F.min(F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"))).alias("_first")).select("_host", "_first._key"))
+    chosen = whole.withColumn("_key", F.col(key)).join(first.withColumnRenamed("_key", "_first"), "_host").where(F.equal_null("_key", "_first"))
+    pivots = cut(chosen.groupBy("_host").agg(F.min("html").alias("_pivot")))
 
     def parsed(known: dict[str, Node], pivot: str) -> Node:
         if pivot not in known:
@@ -305,37 +393,46 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Node] = {}
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            sums: dict[tuple[str, int, int, int], list[int]] = defaultdict(lambda: [0, 0])
             for host, pivot, text in batch.itertuples(index=False):
-                for slot, a, b in slots(parsed(known, pivot), parse(text)):
-                    got = sums[host, slot]
+                tree = parse(text)
+                page_hash = hashed("\n".join(b.text for b in blocks(tree)))
+                for slot, a, b in slots(parsed(known, pivot), tree):
+                    got = sums[host, slot, hashed(b.text), page_hash]
                     got[0] += 1
                     got[1] += a.text == b.text
-            keys = list(sums)
-            if keys:
-                yield pd.DataFrame({"_host": [h for h, _ in keys], "slot": [s for _, s in keys], "n": [sums[k][0] for k in keys], "same": [sums[k][1] for k in keys]})
+            if sums:
+                hosts, numbers, texts, different = zip(*sums)
+                n, same = zip(*sums.values())
+                yield pd.DataFrame({"_host": hosts, "slot": numbers, "t": texts, "p": different, "n": n, "same": same})
 
     counted = (
         filled.join(pivots, "_host").select("_host", "_pivot", "html")
-        .mapInPandas(count, "_host string, slot int, n long, same long")
-        .groupBy("_host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        .mapInPandas(count, "_host string, slot int, t long, p long, n long, same long")
+        .groupBy("_host", "slot", "t", "p").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        .groupBy("_host", "slot", "t").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.count(F.lit(1)).alias("pages"))
+        .groupBy("_host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"))
     )
-    constant = counted.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
-    template = constant.groupBy("_host").agg(F.sort_array(F.collect_set("slot")).alias("_slots"))
+    constant = (F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n"))
+    repeated = (F.col("pages") >= LEAST_DIFFERENT) & (F.col("pages") >= REPEATED * F.col("texts"))
+    template = counted.groupBy("_host").agg(
+        F.sort_array(F.collect_set(F.when(constant, F.col("slot")))).alias("_slots"), F.sort_array(F.collect_set(F.when(repeated, F.col("slot")))).alias("_often")
+    )
     wrappers = cut(pivots.join(template, "_host", "left"))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Node] = {}
         for batch in batches:
             texts = []
-            for page_html, pivot, constant_slots in batch[["html", "_pivot", "_slots"]].itertuples(index=False):
+            for page_html, pivot, constant_slots, repeated_slots in batch[["html", "_pivot", "_slots", "_often"]].itertuples(index=False):
                 tree, gone = parse(page_html or ""), set()
-                if constant_slots is not None and len(constant_slots):
-                    there = set(constant_slots.tolist())
-                    gone = {id(b) for slot, a, b in slots(parsed(known, pivot), tree) if slot in there and a.text == b.text}
+                there = set() if constant_slots is None else set(constant_slots.tolist())
+                often = set() if repeated_slots is None or any(b.inside for b in blocks(tree)) else set(repeated_slots.tolist())
+                if there or often:
+                    gone = {id(b) for slot, a, b in slots(parsed(known, pivot), tree) if slot in often or (slot in there and a.text == b.text)}
                 texts.append(main_text(tree, gone))
             yield pd.DataFrame({key: batch[key].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": np.fromiter(map(len, texts), np.int64, len(texts))})
 
-    return rows.join(wrappers, "_host", "left").select(key, "url", "html", "_pivot", "_slots").mapInPandas(
+    return rows.join(wrappers, "_host", "left").select(key, "url", "html", "_pivot", "_slots", "_often").mapInPandas(
         take, f"`{key}` long, url string, text string, n_chars long"
     )
