@@ -61,18 +61,18 @@ def bootstrap_counts(
 ) -> DataFrame:
     """Counts per (model, replicate, covariates); replicate 0 is the data as it is.
 
-    A cluster's weights are worked out once, whatever the number of models and covariates, and
-    stored as one array.  What is stored of the data has a row per (model, cluster, covariates), however
-    many replicates there are.  Where covariates repeat so much that the counts of all replicates are
+    A pass over the data works out a cluster's weights once, as one array, whatever the number of models and
+    covariates.  What is stored has a row per (model, cluster, covariates), however many replicates there are.  Where covariates repeat so much that the counts of all replicates are
     no more rows than that, or than ``FEW_COUNTS``, these are stored instead; else weights are applied in every round.
     """
     if not replicates:
         return cut(sufficient_counts(df, [model], y, xs)).withColumn(REPLICATE, F.lit(0))
     per_cluster = cut(sufficient_counts(df, [model, cluster], y, xs))
-    weights = cut(cluster_weights(per_cluster, cluster, replicates, seed))
+    weights = cluster_weights(per_cluster, cluster, replicates, seed)
+    clusters = counted_bound(per_cluster.select(cluster).distinct())
     # A missing cluster is a cluster like others, so the join needs a key that is never null.
     keyed = [t.withColumn("_weights_of", F.coalesce(F.concat(F.lit("="), F.col(cluster).cast("string")), F.lit(""))).drop(cluster) for t in (per_cluster, weights)]
-    joined = lookup_join(*keyed, ["_weights_of"], counted_bound(weights), "inner", width=replicates + 2 * ROW_BYTES)
+    joined = lookup_join(*keyed, ["_weights_of"], clusters, "inner", width=replicates + 2 * ROW_BYTES)
     weighted = joined.select(model, *xs, "n", "events", F.posexplode("_w").alias(REPLICATE, "_w")).where(F.col("_w") > 0)
     n, events = F.col("n") * F.col("_w"), F.col("events") * F.col("_w")
     collapsed = per_cluster.select(model, *xs).distinct().count() * (replicates + 1)
