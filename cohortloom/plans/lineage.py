@@ -15,6 +15,15 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def set_own_dir(spark: SparkSession, path: str) -> None:
+    """Name a folder in a session that names none, for local runs; sessions guard this setting against late changes."""
+    guard = "spark.sql.legacy.setCommandRejectsSparkCoreConfs"
+    before = spark.conf.get(guard)
+    spark.conf.set(guard, "false")
+    spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set(guard, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from cohortloom.plans.lineage import set_own_dir  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,7 +22,7 @@ def spark():
     )
     session = builder.getOrCreate()
     if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
+        set_own_dir(session, tempfile.mkdtemp(prefix="tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
