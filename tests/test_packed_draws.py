@@ -38,7 +38,7 @@ def test_effects_are_never_broadcast(spark):
     grid = spark.range(50).select(F.lit("m").alias("model"), F.col("id").alias("s"), F.lit(1.0).alias("x"))
     few = spark.createDataFrame([("m", d, 0.0, 1.0) for d in range(4)], "model string, draw long, b0 double, b1 double")
     plan = draws.fitted_draws(grid, few, "model", "draw", "b0", {"b1": "x"}, 1, effects, ["s"])._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
 def test_contrast_keeps_units_without_the_wanted_levels(spark):
@@ -72,3 +72,26 @@ def test_weighted_sums_add_up(spark, monkeypatch, cells):
         mine = [d for d in data if (d[0], d[1]) == (m, x)]
         assert np.array_equal(sums.pop((m, x)), [np.sum([np.array(d[4]) * d[i] for d in mine], axis=0) for i in (2, 3)])
     assert not sums
+
+
+def test_packed_predictions_are_the_long_ones(spark):
+    grid = spark.createDataFrame([("m", s, i, 0.5 * i) for i, s in enumerate(["a", "b", "c", None])], "model string, s string, obs int, x double")
+    few = spark.createDataFrame([("m", d, 0.1 * d, 1.0) for d in range(3)], "model string, draw long, b0 double, b1 double")
+    effects = spark.createDataFrame([("a", d, 0.3 * d) for d in range(3)] + [("b", 1, -1.0)], "s string, draw long, effect double")
+    for more in ((), (effects, ["s"])):
+        parts = [grid, few, "model", "draw", "b0", {"b1": "x"}, 1, *more]
+        long = {r.obs: sorted(r.loglik) for r in draws.loglik_arrays(draws.fitted_draws(*parts), "model", ["obs"], "fitted").collect()}
+        packed = {r.obs: sorted(r.loglik) for r in draws.loglik_arrays(draws.fitted_draws(*parts, packed=True), "model", ["obs"], "fitted").collect()}
+        assert packed.keys() == long.keys() and all(packed[k] == pytest.approx(long[k]) for k in long)
+
+
+def test_smoothed_scores_of_short_equal_and_missing_arrays(spark):
+    arrays = [(0, None), (1, []), (2, [-0.5]), (3, [-0.5, None]), (4, [-0.7] * 40), (5, [-0.1 * i for i in range(40)]), (6, [-0.3, -0.4])]
+    frame = spark.createDataFrame(arrays, "obs int, loglik array<double>")
+    out = {r.obs: r for r in draws.smoothed_scores(frame).collect()}
+    plain = {r.obs: r for r in draws.pointwise_scores(frame).collect()}
+    for i, r in out.items():
+        for c in ("lpd", "p_waic", "elpd_waic"):
+            assert r[c] == (None if plain[i][c] is None else pytest.approx(plain[i][c]))
+    assert [i for i in out if out[i].pareto_k is not None] == [5] and out[5].elpd_loo != pytest.approx(plain[5].elpd_loo)
+    assert all(out[i].elpd_loo == pytest.approx(plain[i].elpd_loo) for i in (2, 4, 6)) and out[0].elpd_loo is out[1].elpd_loo is out[3].elpd_loo is None
