@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions.hashes import unit_numbers
-from cohortloom.operators import draws
+from cohortloom.operators import draws, mixed
 from cohortloom.plans import ranking
 
 INF = float("inf")
@@ -83,3 +83,26 @@ def test_unit_numbers_are_the_hashes():
         for j, m in enumerate(middles):
             for k, e in enumerate(ends):
                 assert found[i, j, k] == int(hashlib.md5(s + m + e).hexdigest()[:8], 16) / 2**32
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_node_sums_add_up_the_patterns_of_each_subject(k):
+    """Also far from zero, where the exponential of the other sign is beyond all numbers."""
+    rng = np.random.default_rng(k)
+    size = np.array([1, 4, 2, 40, 1])
+    starts, rows = np.cumsum(size) - size, size.sum()
+    x, n = rng.normal(size=(rows, k)), rng.integers(1, 5, rows).astype(float)
+    x[0] = 2000.0
+    events = np.floor(n * rng.random(rows))
+    beta, sd, u = np.full((5, k), -0.5), np.full(5, 0.7), np.tile(np.linspace(-3, 3, 7), (5, 1))
+    with np.errstate(all="raise", under="ignore"):
+        found = mixed.node_sums(x, n, events, starts, beta, sd, u)
+    for s, (at, m) in enumerate(zip(starts, size)):
+        mine = slice(at, at + m)
+        eta = (x[mine] @ beta[s])[:, None] + sd[s] * u[s]
+        p = np.where(eta < 0, np.exp(np.minimum(eta, 0)) / (1 + np.exp(np.minimum(eta, 0))), 1 / (1 + np.exp(-np.maximum(eta, 0))))
+        r, w = events[mine, None] - n[mine, None] * p, n[mine, None] * p * (1 - p)
+        loglik = events[mine, None] * eta - n[mine, None] * np.logaddexp(0.0, eta)
+        wanted = [loglik, *[x[mine, j][:, None] * r for j in range(k)], r]
+        wanted += [(x[mine, i] * x[mine, j])[:, None] * w for i in range(k) for j in range(i, k)] + [x[mine, j][:, None] * w for j in range(k)] + [w]
+        assert np.allclose(found[:, s], [t.sum(axis=0) for t in wanted], rtol=1e-10, atol=1e-10)
