@@ -49,3 +49,10 @@ def test_formulas_are_compared_on_orders_of_every_status(spark, orders_of_all_st
     got = [r.asDict() for r in mixed_queries.compare_mixed_formulas(spark, orders_of_all_statuses).collect()]
     assert {r["model"]: r["observations"] for r in got} == {"level": ORDERS, "season": ORDERS}
     same_rows(got, by_sql("compare_mixed_formulas", orders_of_all_statuses), ["model"])
+
+
+def test_orders_of_every_status_have_scores(spark, orders_of_all_statuses):
+    """Orders of other statuses than O had no scores."""
+    got = [r.asDict() for r in mixed_queries.smoothed_scores(spark, orders_of_all_statuses).collect()]
+    assert sorted((r["model"], r["order_id"]) for r in got) == [(m, i) for m in ("level", "season") for i in range(ORDERS)]
+    same_rows(got, by_sql("smoothed_scores", orders_of_all_statuses), ["model", "order_id"])
